@@ -6,11 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, packing, pii, toxicity
+from . import ann, mixing, mpeg, neardup, packing, pii, reputation, tokencount, toxicity, warc
 from .shared import read
 from .tokens import WORD_PATTERN
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(read(spark, sf_dir, "documents"))
+
+
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no sound, so every whole text is carried as the payload of an MPEG stream first."""
+    return mpeg.media_columns(mpeg.as_media(read(spark, sf_dir, "documents")))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), window=2048, alpha=0.7, seed=1)
 
@@ -20,6 +29,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, alpha=0.5, max_epochs=1.25, budget_ratio=1.0, seed=1, copy_column="copy").select("doc_id", "source", "copy")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages go through WARC files, some with whole records inside their payload."""
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -33,6 +47,15 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_spans(read(spark, sf_dir, "documents"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(read(spark, sf_dir, "embeddings"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return reputation.filtered_pages(pages, reputation.labelled_outcomes(pages, read(spark, sf_dir, "labels")), highest=0.15)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -40,7 +63,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (pipeline, op3_packing, op4_mixing, op6_near_duplicates, op7_toxicity, op8_pii)}
+    return {f.__name__: f for f in (pipeline, op1_token_counts, op2_media_columns, op3_packing, op4_mixing, op5_warc, op6_near_duplicates, op7_toxicity, op8_pii, op9_nearest_neighbours, op10_url_filter)}
 
 
 _WORDS = f"len(regexp_extract_all(text, '{WORD_PATTERN}'))"
@@ -72,5 +95,43 @@ FROM h
 """
 
 
+_SQL_STRING = lambda s: "'" + s.replace("'", "''").replace("\r\n", "' || chr(13) || chr(10) || '") + "'"
+
+_OP5 = f"""
+WITH p AS (SELECT page_id, url, {_SQL_STRING(warc.HTTP)} || coalesce(html, '') || CASE WHEN page_id % 5 = 0 THEN {_SQL_STRING(warc.DECOY)} ELSE '' END AS block FROM pages)
+SELECT page_id, url, octet_length(encode(block))::BIGINT AS n_bytes, md5(block) AS digest FROM p
+"""
+
+
+def _parts(table: str, extra: str) -> str:
+    return f"""
+  SELECT {extra}, host, suffix, CASE WHEN label = '' OR host = suffix THEN host ELSE label || '.' || suffix END AS domain FROM (
+   SELECT *, regexp_extract(substr(host, 1, greatest(length(host) - length(suffix) - 1, 0)::BIGINT), '([^.]*)$', 1) AS label FROM (
+    SELECT *, CASE WHEN regexp_matches(host, '{reputation.ADDRESS_PATTERN}') THEN host ELSE regexp_replace(regexp_extract(host, '{reputation.SUFFIX_PATTERN}', 1), '^[.]', '') END AS suffix FROM (
+     SELECT *, regexp_replace(lower(coalesce(regexp_extract(url, '{reputation.HOST_PATTERN}', 1), '')), '[.]+$', '') AS host FROM {table})))"""
+
+
+def _fit(level: str) -> str:
+    return f"""(SELECT (1 - rho) / rho FROM (SELECT greatest(0.001::DOUBLE, least(0.99::DOUBLE, coalesce(sum((bad - n * mu) ** 2 - n * mu * (1 - mu)) / nullif(sum(n * (n - 1) * mu * (1 - mu)), 0), 0.001::DOUBLE))) AS rho FROM {level}))"""
+
+
+_OP10 = f"""
+WITH pg AS ({_parts("pages", "page_id, url")}),
+lab AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
+seen AS (SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM pg JOIN lab ON lab.doc_id = try_cast(nullif(regexp_extract(url, '://[^/]+/[a-z]+/([0-9]{{1,18}})', 1), '') AS BIGINT) GROUP BY host),
+h AS (SELECT x.host, domain, suffix, coalesce(n, 0)::DOUBLE AS n, coalesce(bad, 0)::DOUBLE AS bad FROM (SELECT DISTINCT host, domain, suffix FROM pg) x LEFT JOIN seen ON x.host = seen.host),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
+x0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0.5) FROM h) AS mu FROM d GROUP BY suffix),
+x1 AS (SELECT suffix, (bad + s * mu) / (n + s) AS mu FROM (SELECT *, {_fit("x0")} AS s FROM x0)),
+d0 AS (SELECT domain, d.suffix, n, bad, mu FROM d JOIN x1 ON d.suffix = x1.suffix),
+d1 AS (SELECT domain, (bad + s * mu) / (n + s) AS mu FROM (SELECT *, {_fit("d0")} AS s FROM d0)),
+h0 AS (SELECT h.host, h.domain, suffix, n, bad, mu FROM h JOIN d1 ON h.domain = d1.domain),
+h1 AS (SELECT *, (bad + s * mu) / (n + s) AS mean FROM (SELECT *, {_fit("h0")} AS s FROM h0)),
+h2 AS (SELECT *, greatest(0.0::DOUBLE, mean - 1.645::DOUBLE * sqrt(mean * (1 - mean) / (n + s + 1))) AS lower FROM h1)
+SELECT page_id, pg.host, h2.domain, h2.suffix, n::BIGINT AS n, bad::BIGINT AS bad, round(mean, 6) AS mean, round(lower, 6) AS lower, lower <= 0.15 AS kept
+FROM pg JOIN h2 ON pg.host = h2.host
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_packing": _OP3, "op4_mixing": _OP4}
+    return {"op3_packing": _OP3, "op4_mixing": _OP4, "op5_warc": _OP5, "op10_url_filter": _OP10}
