@@ -1,16 +1,335 @@
-"""The registered queries of the engine's own operators, with their SQL."""
+"""The registered queries of the engine's own operators, each over whole tables, with DuckDB SQL where there is any."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .functions import keys
+from .functions.text import tokens
+from .operators import compare, generators, graph, pagerank, skew, wordcount
+from .plans import jobs
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+REDUCERS, SPLITS, HEAVY_PCT, SAMPLE_RATE, SEED, DAMPING = 8, 8, 0.01, 0.05, 7, 0.85
+
+
+def _query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+# --- SQL pieces ---
+
+_TOKENS = r"(SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[\s\p{Z}\x{0085}\x{000B}]+'), lambda w: w <> '')) AS k FROM documents)"
+
+
+def _crc(key: str) -> str:
+    byte = f"list_transform(range(0, octet_length(encode({key}))::BIGINT), lambda i: ('0x' || substr(hex(encode({key})), 2 * i + 1, 2))::BIGINT)"
+    inner = "list_reduce(list_prepend(xor(c, b), [0,0,0,0,0,0,0,0]::BIGINT[]), lambda r, i: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {byte}), lambda c, b: {inner}), 4294967295)"
+
+
+_BYTES = r"""(octet_length(encode(to_json({'k': k, 'v': 1}))) + 5 * len(regexp_extract_all(k, '[<>&]')) + 3 * len(regexp_extract_all(k, '[\x{2028}\x{2029}]')))"""
+_COUNTS = f"SELECT k, count(*) AS v FROM {_TOKENS} GROUP BY k"
+_LOAD = f"""
+WITH c AS ({_COUNTS}), p AS (SELECT v, {_BYTES} AS b, {_crc("k")} % {REDUCERS} AS reducer FROM c)
+SELECT r.reducer::INT AS reducer, coalesce(sum(v * b), 0)::BIGINT AS bytes, coalesce(sum(v), 0)::BIGINT AS records
+FROM (SELECT unnest(range({REDUCERS})) AS reducer) r LEFT JOIN p ON p.reducer = r.reducer GROUP BY r.reducer
+"""
+
+
+def _summary(load: str) -> str:
+    cov = lambda c: f"coalesce(stddev_pop({c}) / nullif(avg({c}), 0), 0)::DOUBLE"
+    ratio = lambda c: f"coalesce(max({c}) / nullif(floor(median({c})), 0), 0)::DOUBLE"
+    return f"WITH l AS ({load}) SELECT round({cov('bytes')}, 9) AS cov_bytes, round({cov('records')}, 9) AS cov_records, round({ratio('bytes')}, 9) AS max_median_bytes, round({ratio('records')}, 9) AS max_median_records FROM l"
+
+
+def _rounded(df: DataFrame, *columns: str, places: int = 10) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+# --- word count ---
+
+
+@_query(_COUNTS)
+def wordcount_documents(spark, sf_dir):
+    return wordcount.word_count(_docs(spark, sf_dir))
+
+
+@_query(_COUNTS)
+def wordcount_salted(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return wordcount.salted_word_count(docs, heavy_words(spark, sf_dir))
+
+
+@_query(_COUNTS)
+def wordcount_job(spark, sf_dir):
+    """Through the job protocol, salted by a plan."""
+    return jobs.run(jobs.get("wordcount"), _docs(spark, sf_dir), heavy_words(spark, sf_dir))
+
+
+@_query(f"SELECT k, v FROM ({_COUNTS}) ORDER BY v DESC, k LIMIT 20")
+def top_words(spark, sf_dir):
+    return wordcount.top_words(wordcount_documents(spark, sf_dir), 20)
+
+
+@_query(f"SELECT (SELECT count(*) FROM documents) AS records_processed, count(*) AS kvs_emitted FROM {_TOKENS}")
+def map_stats(spark, sf_dir):
+    return skew.map_stats(_docs(spark, sf_dir))
+
+
+@_query(r"SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\s\p{Z}\x{0085}\x{000B}]+'), lambda w: w <> '') AS words FROM documents".replace("list_filter", "array_to_string(list_filter").replace(" AS words", ", ' ') AS words"))
+def tokenized(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(tokens(F.col("text")), " ").alias("words"))
+
+
+# --- partitions and skew ---
+
+
+@_query(f"SELECT k, ({_crc('k')} % {REDUCERS})::INT AS reducer FROM ({_COUNTS})")
+def partition_of_words(spark, sf_dir):
+    return wordcount_documents(spark, sf_dir).select("k", keys.partition_id(F.col("k"), REDUCERS).alias("reducer"))
+
+
+@_query(f"SELECT k, (({_crc('k')}) % {SPLITS})::INT AS salt, k || '#' || (({_crc('k')}) % {SPLITS}) AS encoded, len(string_split(k, '#')) = 1 AS decodes FROM ({_COUNTS})")
+def salted_keys(spark, sf_dir):
+    """Keys with a salt, their text form, and whether it decodes to the same (not if the key itself holds a #)."""
+    s = wordcount_documents(spark, sf_dir).select("k", keys.source_salt(F.col("k"), F.lit(SPLITS)).alias("salt"))
+    key = keys.salted_key(F.col("k"), F.col("salt"))
+    s = s.withColumn("encoded", keys.encode_key(key)).withColumn("key", key)
+    return s.select("k", "salt", "encoded", keys.decode_key(F.col("encoded")).eqNullSafe(F.col("key")).alias("decodes"))
+
+
+def _load(spark, sf_dir) -> DataFrame:
+    return skew.reducer_load(wordcount.emitted(_docs(spark, sf_dir)), REDUCERS)
+
+
+@_query(_LOAD)
+def reducer_load(spark, sf_dir):
+    return _load(spark, sf_dir)
+
+
+@_query(_summary(_LOAD))
+def skew_summary(spark, sf_dir):
+    return _rounded(skew.load_metrics(_load(spark, sf_dir)), "cov_bytes", "cov_records", "max_median_bytes", "max_median_records", places=9)
+
+
+_KEPT = f"({_crc(repr(str(SEED) + ':') + ' || doc_id::VARCHAR')}) % 1000000 < {int(SAMPLE_RATE * 1_000_000)}"
+_SAMPLE = f"SELECT k, count(*) AS sample_count FROM {_TOKENS} WHERE {_KEPT} GROUP BY k".replace(_TOKENS + " WHERE " + _KEPT, _TOKENS.replace("FROM documents", "FROM documents WHERE " + _KEPT))
+
+
+def _sample(spark, sf_dir) -> DataFrame:
+    docs = skew.sample_rows(_docs(spark, sf_dir), SAMPLE_RATE, SEED, "doc_id")
+    return skew.sample_key_counts(wordcount.emitted(docs))
+
+
+@_query(_SAMPLE)
+def sample_key_counts(spark, sf_dir):
+    return _sample(spark, sf_dir)
+
+
+@_query(f"WITH s AS ({_SAMPLE}), t AS (SELECT sum(sample_count) AS total FROM s) SELECT k, sample_count, round(sample_count / total, 12) AS estimated_freq, {SPLITS}::INT AS splits FROM s, t WHERE sample_count >= greatest(1, floor(total * {HEAVY_PCT}))")
+def heavy_words(spark, sf_dir):
+    return _rounded(skew.partition_plan(_sample(spark, sf_dir), HEAVY_PCT, SPLITS), "estimated_freq", places=12)
+
+
+@_query()
+def salted_reducer_load(spark, sf_dir):
+    """The load once heavy words are spread; salts come from xxhash64, which SQL lacks, so tests hold its sums against the plain load."""
+    kvs = wordcount.salted(wordcount.emitted(_docs(spark, sf_dir), "doc_id"), heavy_words(spark, sf_dir), "doc_id", "pos")
+    return skew.reducer_load(kvs, REDUCERS, "salt")
+
+
+# --- graphs ---
+
+
+def _geo(spark, sf_dir) -> DataFrame:
+    """Customers and suppliers point to their nation, nations to their region: few, hot destinations and sinks."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    c = _table(spark, sf_dir, "customer").select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("dst"))
+    s = _table(spark, sf_dir, "supplier").select(name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst"))
+    n = _table(spark, sf_dir, "nation").select(name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst"))
+    return c.unionByName(s).unionByName(n)
+
+
+def _trade(spark, sf_dir) -> DataFrame:
+    """Suppliers and the parts they sell, both ways: no sinks."""
+    pairs = _table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    s, p = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    return pairs.select(F.explode(F.array(F.struct(s.alias("src"), p.alias("dst")), F.struct(p.alias("src"), s.alias("dst")))).alias("e")).select("e.*")
+
+
+_GEO = "SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation"
+_TRADE = "SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION ALL SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem"
+
+
+def _rank_sql(edges: str, rounds: int, select: str) -> str:
+    parts = [
+        f"e AS ({edges})",
+        "nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e)",
+        "c AS (SELECT count(*)::DOUBLE AS n FROM nodes)",
+        "o AS (SELECT src, count(*) AS deg FROM e GROUP BY src)",
+        "r0 AS (SELECT node, 1 / n AS rank FROM nodes, c)",
+    ]
+    for i in range(rounds):
+        parts.append(f"s{i} AS (SELECT e.dst AS node, sum(r.rank / o.deg) AS total FROM e JOIN r{i} r ON e.src = r.node JOIN o ON e.src = o.src GROUP BY e.dst)")
+        parts.append(f"r{i + 1} AS (SELECT nodes.node, (1 - {DAMPING}) / n + {DAMPING} * coalesce(total, 0) AS rank FROM c, nodes LEFT JOIN s{i} ON nodes.node = s{i}.node)")
+    return "WITH " + ",\n".join(parts) + "\n" + select
+
+
+def _geo_rank_sql(rounds: int) -> str:
+    return _rank_sql(_GEO, rounds, f"SELECT node, round(rank, 10) AS rank FROM r{rounds}")
+
+
+@_query(f"WITH e AS ({_GEO}) SELECT src AS node FROM e UNION SELECT dst FROM e")
+def graph_nodes(spark, sf_dir):
+    return graph.nodes(_geo(spark, sf_dir))
+
+
+@_query(f"SELECT dst AS node, count(*) AS in_degree FROM ({_GEO}) GROUP BY dst")
+def in_degree(spark, sf_dir):
+    return graph.in_degree(_geo(spark, sf_dir))
+
+
+@_query(f"WITH e AS ({_TRADE}) SELECT src AS node, string_agg(dst, ' ' ORDER BY dst) AS neighbors FROM e GROUP BY src")
+def adjacency(spark, sf_dir):
+    return graph.adjacency(_trade(spark, sf_dir)).select("node", F.array_join("neighbors", " ").alias("neighbors"))
+
+
+@_query(f"WITH e AS ({_GEO}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), o AS (SELECT src, string_agg(dst, ' ' ORDER BY dst) AS a FROM e GROUP BY src) SELECT node, round(1 / (SELECT count(*) FROM n)::DOUBLE, 12) AS rank, coalesce(a, '') AS neighbors FROM n LEFT JOIN o ON n.node = o.src")
+def graph_init(spark, sf_dir):
+    return graph.initial_state(_geo(spark, sf_dir)).select("node", F.round("rank", 12).alias("rank"), F.array_join("neighbors", " ").alias("neighbors"))
+
+
+@_query(_GEO)
+def edges_from_state(spark, sf_dir):
+    return graph.edges_of(graph.initial_state(_geo(spark, sf_dir)))
+
+
+@_query(f"SELECT dst AS node, count(*) AS in_degree, {SPLITS}::INT AS splits FROM ({_GEO}) GROUP BY dst ORDER BY in_degree DESC, node LIMIT 10")
+def heavy_destinations(spark, sf_dir):
+    return skew.heavy_top_k(graph.in_degree(_geo(spark, sf_dir)), "node", "in_degree", 10, SPLITS)
+
+
+@_query(f"WITH d AS (SELECT dst AS node, count(*) AS in_degree FROM ({_GEO}) GROUP BY dst), h AS (SELECT node FROM d ORDER BY in_degree DESC, node LIMIT 10) SELECT d.node, in_degree, (CASE WHEN h.node IS NULL THEN 0 ELSE {SPLITS} END)::INT AS splits, h.node IS NOT NULL AS is_heavy FROM d LEFT JOIN h ON d.node = h.node")
+def heavy_lookup(spark, sf_dir):
+    d = graph.in_degree(_geo(spark, sf_dir))
+    return skew.split_count(d, heavy_destinations(spark, sf_dir).select(F.col("node").alias("k"), "splits"), "node")
+
+
+@_query(_geo_rank_sql(1))
+def pagerank_1(spark, sf_dir):
+    return _rounded(pagerank.pagerank(_geo(spark, sf_dir), 1, DAMPING), "rank")
+
+
+@_query(_geo_rank_sql(10))
+def pagerank_10(spark, sf_dir):
+    return _rounded(pagerank.pagerank(_geo(spark, sf_dir), 10, DAMPING), "rank")
+
+
+def _plan(spark, sf_dir) -> DataFrame:
+    return heavy_destinations(spark, sf_dir).select(F.col("node").alias("k"), "splits")
+
+
+@_query(_geo_rank_sql(3))
+def pagerank_salted(spark, sf_dir):
+    return _rounded(pagerank.pagerank(_geo(spark, sf_dir), 3, DAMPING, plan=_plan(spark, sf_dir)), "rank")
+
+
+@_query(_rank_sql(_TRADE, 3, "SELECT node, round(rank, 10) AS rank FROM r3"))
+def pagerank_trade(spark, sf_dir):
+    return _rounded(pagerank.pagerank(_trade(spark, sf_dir), 3, DAMPING), "rank")
+
+
+@_query(_geo_rank_sql(1))
+def pagerank_job(spark, sf_dir):
+    """One round through the job protocol."""
+    state = graph.initial_state(_geo(spark, sf_dir))
+    return _rounded(jobs.run(jobs.get("pagerank", damping=DAMPING, num_nodes=state.count()), state), "rank")
+
+
+@_query(_rank_sql(_GEO, 3, "SELECT node, round(rank, 10) AS rank FROM r3 ORDER BY rank DESC, node"))
+def ranks_sorted(spark, sf_dir):
+    return pagerank.sorted_ranks(_rounded(pagerank.pagerank(_geo(spark, sf_dir), 3, DAMPING), "rank"))
+
+
+@_query(_rank_sql(_GEO, 3, "SELECT r1.node, round(r1.rank, 10) AS rank_a, round(r3.rank, 10) AS rank_b, round(abs(r1.rank - r3.rank), 9) AS difference FROM r1 JOIN r3 ON r1.node = r3.node"))
+def rank_differences(spark, sf_dir):
+    e = _geo(spark, sf_dir)
+    d = compare.rank_differences(pagerank.pagerank(e, 1, DAMPING), pagerank.pagerank(e, 3, DAMPING))
+    return _rounded(_rounded(d, "rank_a", "rank_b"), "difference", places=9)
+
+
+@_query(f"WITH e AS ({_GEO}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT count(*) AS nodes, 0::BIGINT AS reported, 0.0::DOUBLE AS largest, true AS matches FROM n")
+def salted_matches_plain(spark, sf_dir):
+    e = _geo(spark, sf_dir)
+    return compare.comparison(pagerank.pagerank(e, 3, DAMPING), pagerank.pagerank(e, 3, DAMPING, plan=_plan(spark, sf_dir))).withColumn("largest", F.round("largest", 9))
+
+
+@_query(f"WITH e AS ({_GEO}) SELECT DISTINCT dst AS node FROM e WHERE dst NOT IN (SELECT src FROM e)")
+def sinks(spark, sf_dir):
+    e = _geo(spark, sf_dir)
+    return compare.only_in(e.select(F.col("dst").alias("node")), e.select(F.col("src").alias("node")))
+
+
+_SENT = f"WITH e AS ({_GEO}), kv AS (SELECT dst AS k FROM e UNION ALL (SELECT src FROM e UNION SELECT dst FROM e)), p AS (SELECT {_crc('k')} % {REDUCERS} AS reducer FROM kv)"
+
+
+@_query(f"{_SENT} SELECT r.reducer::INT AS reducer, count(p.reducer) AS records FROM (SELECT unnest(range({REDUCERS})) AS reducer) r LEFT JOIN p ON p.reducer = r.reducer GROUP BY r.reducer")
+def pagerank_round_load(spark, sf_dir):
+    """What a round sends to each reducer; it is the same every round."""
+    kvs = pagerank.round_kvs(graph.initial_state(_geo(spark, sf_dir)))
+    return skew.reducer_load(kvs, REDUCERS, size=F.lit(0)).select("reducer", "records")
+
+
+# --- generators: the streams are seeded hashes, tests hold their distributions ---
+
+
+@_query()
+def zipf_text(spark, sf_dir):
+    return generators.zipf_text(spark)
+
+
+@_query()
+def hot_key_text(spark, sf_dir):
+    return generators.hot_key_text(spark)
+
+
+@_query()
+def zipf_graph(spark, sf_dir):
+    return generators.zipf_graph(spark)
+
+
+@_query()
+def hot_node_graph(spark, sf_dir):
+    return generators.hot_node_graph(spark, num_hot_nodes=10, hot_edge_frac=0.5)
+
+
+@_query(f"SELECT dst, count(*) AS count FROM ({_GEO}) GROUP BY dst ORDER BY count DESC, dst LIMIT 10")
+def top_destinations(spark, sf_dir):
+    return generators.top_destinations(_geo(spark, sf_dir), 10)
+
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
