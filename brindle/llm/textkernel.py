@@ -8,7 +8,7 @@ import numpy as np
 
 _P, _P_INV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Texts are handled in blocks of about this many bytes; a longer text is a block by itself, never cut.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
