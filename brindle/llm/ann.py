@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import plain, written
 
 
 @dataclass(frozen=True)
@@ -195,7 +195,7 @@ def nearest_neighbours(embeddings: DataFrame, cfg: AnnConfig = AnnConfig()) -> D
     one; a vector isn't its own id's neighbour. Equal distances are ranked by id. Fewer than ``k`` others give fewer rows; a
     single vector or an empty table gives none. Extra columns are ignored."""
     spark = embeddings.sparkSession
-    rows = embeddings.select(embeddings["vec_id"].cast("bigint").alias("vec_id"), embeddings["embedding"].cast("array<float>").alias("embedding")).where("vec_id is not null and embedding is not null")
+    rows = plain(embeddings, "vec_id", "embedding").selectExpr("cast(vec_id as bigint) as vec_id", "cast(embedding as array<float>) as embedding").where("vec_id is not null and embedding is not null")
     vectors = written(rows.mapInArrow(_finite, "vec_id bigint, v binary").distinct(), "vectors")
     lengths = vectors.groupBy(F.length("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not lengths:

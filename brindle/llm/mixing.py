@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import numbered, plain
 from .tokens import word_count
 
 #: The table of sources is broadcast up to this many; beyond, the join shuffles.
@@ -60,16 +61,17 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
     and are sampled with their source; a source without any word goes. Rows with the same doc_id and source share one draw.
     An empty table gives no rows."""
     spark = docs.sparkSession
-    slim = docs.select(F.coalesce(docs["source"].cast("string"), F.lit("")).alias("source"), word_count(docs["text"]).alias("n"))
+    slim = plain(docs, "source", "text").select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), word_count(F.col("text")).alias("n"))
     plan = plan_mix(slim, weights, alpha, max_epochs, budget_ratio).select("source", "epochs")
     rows = plan.limit(BROADCAST_SOURCES + 1).collect()  # checked: a row a source
     if len(rows) <= BROADCAST_SOURCES:
         plan = F.broadcast(spark.createDataFrame([(r[0], r[1]) for r in rows], "source string, epochs double"))
-    plan = plan.select(F.col("source").alias("__source"), F.col("epochs").alias("__epochs"))
-    out = docs.join(plan, F.coalesce(docs["source"].cast("string"), F.lit("")) == F.col("__source"))
-    whole = F.floor("__epochs")
-    copies = (whole + (uniform(seed, docs["source"], docs["doc_id"]) < F.col("__epochs") - whole).cast("int")).cast("int")
-    kept = [c for c in docs.columns if c != copy_column]
-    each = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias(copy_column or "__copy")
-    out = out.withColumn("__copies", copies).where("__copies > 0").select(*(docs[c] for c in kept), each)
-    return out if copy_column else out.select(*docs.columns)
+    plan = plan.select(F.col("source").alias("of"), "epochs")
+    inner, (source, doc_id) = numbered(docs, "source", "doc_id")
+    out = inner.join(plan, F.coalesce(F.col(source).cast("string"), F.lit("")) == F.col("of"))
+    whole = F.floor("epochs")
+    copies = (whole + (uniform(seed, F.col(source), F.col(doc_id)) < F.col("epochs") - whole).cast("int")).cast("int")
+    kept = [i for i, c in enumerate(docs.columns) if c != copy_column]
+    out = out.withColumn("copies", copies).where("copies > 0").select(*(f"c{i}" for i in kept), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    names = [docs.columns[i] for i in kept]
+    return out.toDF(*names, copy_column) if copy_column else out.drop("copy").toDF(*names)

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import plain
+
 _RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}  # by the header's version bits
 _KBPS = {
     (True, 1): (32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -356,7 +358,7 @@ def media_columns(df: DataFrame, id_column: str = "doc_id", media_column: str =
     encoder's delay and padding where a table states them; frame i of ``frame_offsets`` starts after i times the frame's
     samples. A null binary has nulls throughout; an empty one, or one without frames, has no version and 0 frames. Repeated
     rows give repeated rows, null ids are carried as they are, extra columns are ignored, an empty table gives no rows."""
-    rows = df.select(df[id_column].cast("bigint").alias("id"), df[media_column].cast("binary").alias("media"))
+    rows = plain(df, id_column, media_column).toDF("id", "media").selectExpr("cast(id as bigint) as id", "cast(media as binary) as media")
     return rows.mapInArrow(_parsed, f"id bigint, {DDL}").withColumnRenamed("id", id_column)
 
 
@@ -446,4 +448,4 @@ def _carrying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def as_media(docs: DataFrame) -> DataFrame:
     """(doc_id, media): each whole text as an MPEG audio stream; null texts have null media."""
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text")).mapInArrow(_carrying, "doc_id bigint, media binary")
+    return plain(docs, "doc_id", "text").selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(_carrying, "doc_id bigint, media binary")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import written
+from .shared import numbered, plain, written
 from .textkernel import Words, blocks, mix, shingles
 
 EMPTY = np.uint16(0xFFFF)
@@ -174,8 +174,8 @@ def _verified(cfg: NearDupConfig):
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """The needed columns alone, so no extra column can clash; h names a text, (h, h2, len) tells texts apart."""
-    text = docs["text"]
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), F.hash(text).alias("h2"), F.length(text).alias("len")).where("text is not null and doc_id is not null")
+    text = F.col("text")
+    return plain(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), text, F.xxhash64(text).alias("h"), F.hash(text).alias("h2"), F.length(text).alias("len")).where("text is not null and doc_id is not null")
 
 
 def _labels(docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
@@ -239,7 +239,8 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
 def deduplicated(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
     """``docs`` without the documents that ``near_duplicates`` names; of rows equal in doc_id and text, nulls included, one
     stays. Documents with a null text or id stay otherwise. The columns are those of ``docs``."""
-    gone = near_duplicates(docs, cfg).select(F.col("doc_id").alias("__gone"))
-    left = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    rows, (doc_id, text) = numbered(docs, "doc_id", "text")
+    left = rows.join(near_duplicates(docs, cfg).select(F.col("doc_id").alias("gone")), F.col(doc_id) == F.col("gone"), "left_anti")
     # the join has brought rows of one doc_id together: no second exchange
-    return left.withColumns({"__h": F.xxhash64("text"), "__len": F.length("text")}).dropDuplicates(["doc_id", "__h", "__len"]).select(*docs.columns)
+    left = left.withColumns({"h": F.xxhash64(text), "len": F.length(text)}).dropDuplicates([doc_id, "h", "len"])
+    return left.drop("h", "len").toDF(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import plain, written
 from .tokens import word_count
 
 #: Credits are counted in this fraction of a token, so quanta need not be whole tokens.
@@ -39,8 +39,9 @@ def packed(docs: DataFrame, window: int = 2048, weights: dict[str, float] | None
     credit there is. ``tokens`` names a column of counts; without it words are counted. Null sources are the source "". Rows
     without tokens (null or empty texts, null or negative counts) fill nothing and give no row. Null ids and repeated rows are
     packed like others. An empty table gives no rows. Extra columns are ignored."""
-    n = word_count(docs["text"]) if tokens is None else F.greatest(F.coalesce(docs[tokens].cast("bigint"), F.lit(0)), F.lit(0))
-    rows = docs.select(F.coalesce(docs["source"].cast("string"), F.lit("")).alias("source"), docs["doc_id"].cast("bigint").alias("doc_id"), n.alias("n")).where("n > 0")
+    counted = tokens or "text"
+    n = word_count(F.col(counted)) if tokens is None else F.greatest(F.coalesce(F.col(counted).cast("bigint"), F.lit(0)), F.lit(0))
+    rows = plain(docs, "source", "doc_id", counted).select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("doc_id").cast("bigint").alias("doc_id"), n.alias("n")).where("n > 0")
     copy = F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("n"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), copy.cast("string")))
     # slim rows, written once: the texts are read and counted a single time

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import numbered, plain
+
 #: A text without any of these characters has no span, so it never leaves the JVM.
 POSSIBLE = "[0-9@=:]"
 NEAR = 48  # characters on either side in which context words count
@@ -163,7 +165,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     context stands within 48 characters and loses 0.2 if a word like "example" or "invoice" does; from 0.5 it counts. Where
     spans overlap the higher score wins, then the order of ``KINDS``, then the earlier start. Null and empty texts have none.
     Repeated rows give repeated spans, a null doc_id is carried as it is, extra columns are ignored."""
-    rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).where(F.col("text").rlike(POSSIBLE))
+    rows = plain(docs, "doc_id", "text").where(F.col("text").rlike(POSSIBLE))
     rows = rows.select("doc_id", "text", F.explode(_spans_udf("text")).alias("s"))
     return rows.select("doc_id", "s.start", "s.end", "s.kind", F.expr("substring(text, s.start + 1, s.end - s.start)").alias("value"), "s.score")
 
@@ -171,11 +173,10 @@ def pii_spans(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``pii_spans`` replaced in text; n_chars, if there is one, is counted anew for changed texts.
     Texts without a span, and null ones, stay as they are. No row goes."""
-    text = docs["text"]
-    new = F.coalesce(_redact_udf(_worth(text)), text)
-    if "n_chars" not in docs.columns:
-        return docs.withColumn("text", new)
-    kind = docs.schema["n_chars"].dataType
-    with_new = docs.withColumn("__new", new)
-    chars = F.when(F.col("__new") == F.col("text"), F.col("n_chars")).otherwise(F.length("__new").cast(kind))
-    return with_new.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(chars)).withColumn("text", F.col("__new")).select(*docs.columns)
+    rows, (text,) = numbered(docs, "text")
+    rows = rows.withColumn("new", F.coalesce(_redact_udf(_worth(F.col(text))), F.col(text)))
+    if "n_chars" in docs.columns:
+        chars = f"c{docs.columns.index('n_chars')}"
+        same = F.col("new").eqNullSafe(F.col(text))
+        rows = rows.withColumn(chars, F.when(same, F.col(chars)).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType)))
+    return rows.withColumn(text, F.col("new")).drop("new").toDF(*docs.columns)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import plain
+
 HOST_PATTERN = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 #: Public suffixes of two labels; any other suffix is the last label.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "co.nz", "com.br", "com.cn", "co.in", "co.kr", "com.mx", "com.tr", "co.za")
@@ -67,7 +69,8 @@ def filtered_pages(pages: DataFrame, outcomes: DataFrame, highest: float = 0.5,
     its host's rate of bad pages exceeds ``highest``: doubt keeps it. A null or malformed URL has the host "", which is one host
     like any other. Repeated rows give repeated rows; null ids are carried; extra columns are ignored; an empty table of pages
     gives no rows, an empty table of outcomes keeps all."""
-    rows = with_parts(pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"))).select("page_id", "host")
+    pages = plain(pages, "page_id", "url")
+    rows = with_parts(pages).select("page_id", "host")
     rep = host_reputation(pages, outcomes, z).select("host", "domain", "suffix", "n", "bad", "mean", "lower")
     return rows.join(rep, "host").select("page_id", "host", "domain", "suffix", "n", "bad", F.round("mean", 6).alias("mean"), F.round("lower", 6).alias("lower"), (F.col("lower") <= highest).alias("kept"))
 
@@ -75,6 +78,7 @@ def filtered_pages(pages: DataFrame, outcomes: DataFrame, highest: float = 0.5,
 def labelled_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(url, bad): a page whose path names a labelled document is bad if that document is of low quality or toxic."""
     doc = F.try_to_number(F.nullif(F.regexp_extract("url", r"://[^/]+/[a-z]+/([0-9]{1,18})", 1), F.lit("")), F.lit("999999999999999999")).cast("bigint")
+    pages, labels = plain(pages, "url"), plain(labels, "doc_id", "quality", "toxic")
     lab = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0).alias("bad")).where("bad is not null")
     lab = lab.groupBy("doc_id").agg(F.max("bad").alias("bad"))
     return pages.select(F.col("url"), doc.alias("doc_id")).join(lab, "doc_id").select("url", "bad")

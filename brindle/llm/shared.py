@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -30,6 +31,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/brindle-{name}-{uuid.uuid4().hex}"
 
 
+def plain(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns alone, the first of each where several share the name: nothing else can clash."""
+    at = [df.columns.index(n) for n in names]
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).select(*(F.col(f"c{i}").alias(n) for i, n in zip(at, names, strict=True)))
+
+
+def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns called c0, c1, ..., and what the named ones are called there; ``toDF(*df.columns)`` names them back."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), [f"c{df.columns.index(n)}" for n in names]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: computed once, and no lineage behind it."""
     path = scratch_path(df.sparkSession, name)

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import plain
 from .textkernel import mix
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -223,5 +224,5 @@ def token_counts(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataF
         for b in batches:
             yield pa.record_batch([b.column("doc_id"), pa.array(counter.counts(b.column("text").to_pylist()), pa.int64())], names=["doc_id", "n_tokens"])
 
-    rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    rows = plain(docs, "doc_id", "text").selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, Isotonic, fit_boosted, fit_isotonic
-from .shared import written
+from .shared import numbered, plain, written
 from .textkernel import WORD, Words, blocks, word_hash
 
 LEXICON = """idiot idiots moron morons stupid stupids trash scum loser losers clown clowns worthless pathetic disgusting dumb dumbass imbecile
@@ -280,9 +280,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> Tox
 
     The labelled texts also give a lexicon of word beginnings that toxic documents hold more often than clean ones. Trees and
     calibration see each text through a lexicon, and the calibration through trees, that the text had no part in."""
-    given = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
+    given = plain(labels, "doc_id", "toxic").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     picked = given.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(max_labelled)
-    texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text")).where("text is not null")
+    texts = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
     # bounded by max_labelled, so its size is known
     rows = texts.join(F.broadcast(picked), "doc_id").select(F.xxhash64("text").alias("key"), "text", "toxic").groupBy("key").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     rows = written(rows.select("key", "text", F.least("toxic", F.lit(1)).alias("toxic"), F.pmod("key", F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
@@ -321,12 +321,13 @@ def scored(docs: DataFrame, model: ToxicityModel | None, threshold: float = 0.5)
     """(doc_id, score, toxic) of every document: the calibrated probability over the whole text and whether it reaches
     ``threshold``. Null texts, and all texts if there is no model, have a null score and are not toxic; empty texts are scored
     by their all-zero features. Repeated rows give repeated rows, a null doc_id is carried as it is, extra columns are ignored."""
-    score = F.lit(None).cast("double") if model is None else _scorer(model)(docs["text"])
-    return docs.select(docs["doc_id"].alias("doc_id"), score.alias("score")).withColumn("toxic", F.coalesce(F.col("score") >= threshold, F.lit(False)))
+    score = F.lit(None).cast("double") if model is None else _scorer(model)(F.col("text"))
+    return plain(docs, "doc_id", "text").select("doc_id", score.alias("score")).withColumn("toxic", F.coalesce(F.col("score") >= threshold, F.lit(False)))
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel | None, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the documents that ``scored`` calls toxic; columns as they are."""
     if model is None:
         return docs
-    return docs.withColumn("__score", _scorer(model)(docs["text"])).where(F.coalesce(F.col("__score") < threshold, F.lit(True))).select(*docs.columns)
+    rows, (text,) = numbered(docs, "text")
+    return rows.withColumn("score", _scorer(model)(F.col(text))).where(F.coalesce(F.col("score") < threshold, F.lit(True))).drop("score").toDF(*docs.columns)

@@ -11,7 +11,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, scratch_path, written
+from .shared import cut, plain, scratch_path, written
 
 MAGIC = re.compile(rb"WARC/\d\.\d\r?\n")
 MAGIC_LONGEST = 12
@@ -193,7 +193,7 @@ def _writer(folder: str):
 def write_warc(pages: DataFrame, folder: str, per_file: int = 1024) -> None:
     """Pages (page_id, url, html) as WARC files of about ``per_file`` pages each, a task a file. Null texts are empty, null ids
     are left blank; repeated rows become repeated records."""
-    rows = pages.select(pages["page_id"].cast("bigint").alias("page_id"), pages["url"].alias("url"), pages["html"].alias("html"))
+    rows = plain(pages, "page_id", "url", "html").withColumn("page_id", F.col("page_id").cast("bigint"))
     rows = rows.withColumn("file", F.coalesce(F.expr(f"abs(page_id) div {per_file}"), F.lit(0)).cast("bigint"))
     rows.groupBy("file").applyInArrow(_writer(folder), "file string, n bigint").agg(F.sum("n")).collect()
 
