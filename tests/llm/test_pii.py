@@ -1,0 +1,91 @@
+import random
+
+import pytest
+
+from brindle.llm.pii import luhn, mod97, pii_spans, redact, redacted, spans
+
+from .conftest import DOC, LONG
+
+
+def _luhn_by_hand(d):
+    digits = [int(c) for c in d]
+    for i in range(len(digits) - 2, -1, -2):
+        digits[i] = digits[i] * 2 - (9 if digits[i] > 4 else 0)
+    return sum(digits) % 10 == 0
+
+
+def test_checksums():
+    rng = random.Random(0)
+    for _ in range(300):
+        d = "".join(rng.choice("0123456789") for _ in range(rng.randrange(1, 20)))
+        assert luhn(d) == _luhn_by_hand(d)
+    assert mod97("GB82WEST12345698765432") and mod97("DE89370400440532013000") and not mod97("DE89370400440532013001")
+
+
+@pytest.mark.parametrize(
+    ("text", "kinds"),
+    [
+        ("write to jo.doe+x@mail.example.com, now", ["EMAIL"]),
+        ("card 4111 1111 1111 1111.", ["CARD"]),
+        ("number 4111111111111112 here", []),
+        ("a 9807915762804497 b", []),
+        ("IBAN DE89 3704 0044 0532 0130 00 end", ["IBAN"]),
+        ("IBAN DE89 3704 0044 0532 0130 01 end", []),
+        ("4111 1111 1111 1111 22 and 3782 822463 10005", ["CARD", "CARD"]),
+        ("call +1 (743) 555-3824 or 555-123-4567", ["PHONE", "PHONE"]),
+        ("from 152.143.123.131 to 999.1.1.1 v1.2.3.4.5", ["IP"]),
+        ('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" x', ["SECRET"]),
+        ("ssn 123-45-6789, not 000-12-3456", ["SSN"]),
+        ("DNI 12345678Z not 12345678A", ["DNI"]),
+        ("order 4111111111111111", ["CARD"]),
+        ("order 152.143.123.131", []),
+        ("nothing here: at 5 = 5", []),
+        ("a@b and @c and x@y.z1", []),
+    ],
+)
+def test_kinds(text, kinds):
+    assert [k for _, _, k, _ in spans(text)] == kinds
+
+
+def test_context_moves_the_score():
+    near, far = spans("card: 4111111111111111")[0][3], spans("thing: 4111111111111111")[0][3]
+    assert near == pytest.approx(min(1, far + 0.2))
+
+
+def test_overlapping_spans_by_brute_force():
+    rng = random.Random(3)
+    bits = ["4111111111111111", "jo@x.example.com", "password=4111111111111111", "+1 (743) 555-3824", " ", "x ", "10.2.3.4", "token: a@b.example.org1"]
+    for _ in range(200):
+        text = " ".join(rng.choice(bits) for _ in range(8))
+        got = spans(text)
+        assert all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False))
+        assert redact(redact(text)) == redact(text)
+
+
+def test_many_spans_in_one_long_text():
+    text = "x 152.143.123.131 y " * 20_000
+    assert len(spans(text)) == 20_000
+
+
+def test_rows(docs, spark):
+    end = LONG + " mail me: jo@mail.example.com"
+    df = docs((1, "hi jo@mail.example.com"), (1, "hi jo@mail.example.com"), (None, "10.20.30.40"), (2, None), (3, ""), (4, end), (5, "été 😀 jo@mail.example.com"))
+    rows = pii_spans(df).collect()
+    assert sorted((r["doc_id"] or 0, r["kind"]) for r in rows) == [(0, "IP"), (1, "EMAIL"), (1, "EMAIL"), (4, "EMAIL"), (5, "EMAIL")]
+    assert all(r["value"] in ("jo@mail.example.com", "10.20.30.40") for r in rows)
+    assert next(r["end"] for r in rows if r["doc_id"] == 4) == len(end)
+    out = redacted(df)
+    assert out.columns == df.columns
+    new = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.where("doc_id <> 1").collect()}
+    assert new[2] == (None, None) and new[3] == ("", 0) and new[5] == ("été 😀 [EMAIL]", 13) and new[4][0].endswith("me: [EMAIL]")
+    assert out.count() == df.count()
+    empty = spark.createDataFrame([], DOC)
+    assert pii_spans(empty).count() == 0 and redacted(empty).count() == 0
+
+
+def test_odd_rows(odd, clashing):
+    for df in (odd, clashing):
+        assert pii_spans(df).count() == 0
+        out = redacted(df)
+        assert out.columns == df.columns and sorted(map(repr, out.collect())) == sorted(map(repr, df.collect()))
+    assert redacted(odd.select("text")).columns == ["text"]
