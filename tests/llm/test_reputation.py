@@ -48,12 +48,19 @@ def test_shrinkage_by_hand(spark):
     assert all(0 <= r["lower"] <= r["mean"] <= r["upper"] <= 1 for r in got.values())
 
 
-def test_doubt_keeps_a_page(spark):
+def test_a_host_goes_with_its_domain_and_doubt_keeps_it(spark):
     pages = spark.createDataFrame([(1, "http://bad.a.com/1"), (2, "http://once.a.com/1"), (3, "http://good.b.com/"), (4, "http://new.c.com/"), (None, None), (1, "http://bad.a.com/1")], "page_id bigint, url string")
     seen = [("http://bad.a.com/1", 1)] * 60 + [("http://once.a.com/1", 1)] + [("http://good.b.com/", 0)] * 60 + [("http://g2.b.com/", None)]
     df = pages.select(F.lit("x").alias("host"), F.lit(1).alias("n"), F.lit(1).alias("mean"), "*")
     rows = filtered_pages(df, spark.createDataFrame(seen, "url string, bad int"), 0.5).collect()
-    assert sorted((r["page_id"] or 0, r["kept"]) for r in rows) == [(0, True), (1, False), (1, False), (2, True), (3, True), (4, True)]
+    # all 61 labelled pages of a.com are bad, and that is what once.a.com, with one of them, is judged by
+    assert sorted((r["page_id"] or 0, r["kept"]) for r in rows) == [(0, True), (1, False), (1, False), (2, False), (3, True), (4, True)]
+
+    # where hosts of a domain differ, one bad page says little: the mean is past 0.5 but its lower bound isn't
+    pages = spark.createDataFrame([(1, "http://x.d.com/"), (2, "http://y.d.com/"), (3, "http://once.d.com/")], "page_id bigint, url string")
+    seen = [(f"http://{h}.d.com/", int(i < bad)) for h, n, bad in (("x", 200, 140), ("y", 200, 60), ("once", 1, 1)) for i in range(n)]
+    rows = {r["page_id"]: r for r in filtered_pages(pages, spark.createDataFrame(seen, "url string, bad int"), 0.5).collect()}
+    assert not rows[1]["kept"] and rows[2]["kept"] and rows[3]["kept"] and rows[3]["lower"] < 0.5 < rows[3]["mean"]
 
 
 def test_nothing_seen_and_no_pages(spark):
