@@ -153,10 +153,10 @@ def read_warc(spark: SparkSession, folder: str, split_bytes: int = 64 << 20) ->
     entries = found.where("exit is not null").select("path", F.col("exit").alias("off")).unionByName(reached).distinct()
     jump = cut(found.where("exit is not null").select("path", "off", "exit").join(entries, ["path", "off"], "left_semi"))
     while not jump.isEmpty():
-        on = jump.select("path", F.col("off").alias("at"), F.col("exit").alias("to"))
         further = reached.join(jump, ["path", "off"]).select("path", F.col("exit").alias("off"))
         reached = cut(reached.unionByName(further).distinct())
-        jump = cut(jump.join(on, (jump["path"] == on["path"]) & (jump["exit"] == on["at"])).select(jump["path"], "off", F.col("to").alias("exit")))
+        on = jump.select("path", F.col("off").alias("exit"), F.col("exit").alias("to"))
+        jump = cut(jump.join(on, ["path", "exit"]).select("path", "off", F.col("to").alias("exit")))
     starts = reached.select("path", F.expr(f"off div {split_bytes} * {split_bytes}").alias("a"), F.col("off").alias("entry"))
     return splits.join(starts, ["path", "a"]).select("path", "size", "b", "entry").mapInArrow(_records, RECORD)
 
