@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,11 +172,24 @@ DECOY = "\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://insi
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
+def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, bundle): the rows of a batch that go to one file, packed together, so the shuffle carries them compressed."""
+    zstd = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        by_file: dict[int, list[tuple]] = {}
+        for file, *row in zip(*(b.column(c).to_pylist() for c in ("file", "page_id", "url", "html")), strict=True):
+            by_file.setdefault(file, []).append(tuple(row))
+        packed = [zstd.compress(pickle.dumps(rows, protocol=5)) for rows in by_file.values()]
+        yield pa.record_batch([pa.array(list(by_file), pa.int64()), pa.array(packed, pa.binary())], names=["file", "bundle"])
+
+
 def _writer(folder: str):
     def run(pages: pa.Table) -> pa.Table:
         fs, name = pafs.FileSystem.from_uri(folder)
         fs.create_dir(name, recursive=True)
-        rows = sorted(zip(*(pages.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2] or ""))
+        zstd = zstandard.ZstdDecompressor()
+        rows = [r for b in pages.column("bundle").to_pylist() for r in pickle.loads(zstd.decompress(b))]
+        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2] or ""))
         group = pages.column("file")[0].as_py()
         target, part = f"{name}/{group:09d}.warc", f"{name}/.{group:09d}-{uuid.uuid4().hex}"
         with fs.open_output_stream(part) as out:
@@ -195,6 +210,7 @@ def write_warc(pages: DataFrame, folder: str, per_file: int = 1024) -> None:
     are left blank; repeated rows become repeated records."""
     rows = plain(pages, "page_id", "url", "html").withColumn("page_id", F.col("page_id").cast("bigint"))
     rows = rows.withColumn("file", F.coalesce(F.expr(f"abs(page_id) div {per_file}"), F.lit(0)).cast("bigint"))
+    rows = rows.mapInArrow(_bundles, "file bigint, bundle binary")
     rows.groupBy("file").applyInArrow(_writer(folder), "file string, n bigint").agg(F.sum("n")).collect()
 
 
