@@ -80,7 +80,7 @@ def run(job: Job, records: DataFrame, plan: DataFrame | None = None) -> DataFram
     """The job's result; with a plan (k, splits) of heavy keys by way of partial results of (k, salt), which gives the same."""
     kvs = job.map(records)
     if plan is not None and job.supports_salting:
-        # the salt hashes the row's contents with its task, so a retried task agrees as long as its input does
+        # the salt is the task's number: a retried task keeps it, and sums don't depend on it
         kvs = kvs.join(plan.select("k", "splits"), "k", "left")
         kvs = kvs.withColumn("salt", F.when(F.col("splits") > 0, F.pmod(F.spark_partition_id(), F.col("splits"))))
         kvs = kvs.groupBy("k", "salt").agg(job.combine(F.col("v")).alias("v"))
