@@ -17,7 +17,7 @@ from .shared import plain, written
 class AnnConfig:
     """``codebooks`` of ``words`` full-dimensional codewords each; ``beam`` candidates are kept while encoding. Vectors are
     searched in blocks of about ``block``; in each block a query's best ``shortlist`` share by looked-up scores are reranked
-    exactly."""
+    exactly, and so is every other that the quantisation error doesn't rule out."""
 
     k: int = 10
     codebooks: int = 16
@@ -135,30 +135,80 @@ def _coded(books: np.ndarray, beam: int):
     return run
 
 
+def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of rows, as sums of squared differences in float64, in bounded pieces."""
+    out = np.empty(len(x), np.float64)
+    for at in range(0, len(x), 32768):
+        d = x[at : at + 32768].astype(np.float64) - y[at : at + 32768]
+        out[at : at + 32768] = np.einsum("ij,ij->i", d, d)
+    return out
+
+
+def _first(q: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The places of the first ``k`` ids of each q, by (d, id); an id counts once, at its least d."""
+    order = np.lexsort((d, ids, q))
+    new = np.ones(len(order), bool)
+    new[1:] = (q[order][1:] != q[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+    order = order[new]
+    order = order[np.lexsort((ids[order], d[order], q[order]))]
+    start = np.searchsorted(q[order], q[order])
+    return order[np.arange(len(order)) - start < k]
+
+
 def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, k: int, shortlist: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, neighbour id, squared distance) of the best ``k`` of a block for each query."""
+    """(query id, neighbour id, squared distance) of the best ``k`` of a block for each query.
+
+    With s the sum of x's codewords, |q - x| is at least |q - s| - |x - s|. Where that doesn't put every vector outside the
+    shortlist beyond the shortlist's k-th distance, the vectors that it leaves are measured too, so nothing is cut."""
     m, words, dim = books.shape
     flat = books.reshape(m * words, dim)
     at = codes.astype(np.int64) + np.arange(m) * words
-    keep = min(len(x), max(4 * k, int(np.ceil(shortlist * len(x)))))
-    take = min(len(x), k + 1)
-    square = (x * x).sum(1)
+    error = np.empty(len(x), np.float64)
+    for a in range(0, len(x), 1024):
+        error[a : a + 1024] = np.sqrt(_squared(x[a : a + 1024], books.astype(np.float64)[np.arange(m), codes[a : a + 1024]].sum(1)))
+    error *= 1 + 1e-9
+    reach = np.sqrt((flat.astype(np.float64) ** 2).sum(1)).reshape(m, words).max(1).sum() + error.max()  # neither a vector nor its sum is longer
+    most = np.unique(ids, return_counts=True)[1].max()  # rows of one id
+    keep = min(len(x), max(4 * k, (k + 1) * most, int(np.ceil(shortlist * len(x)))))
+    wide = x.astype(np.float64)
+    square = (wide * wide).sum(1)
     out = []
-    for a in range(0, len(q), 512):
-        block = q[a : a + 512]
+    for a in range(0, len(q), 256):
+        block = q[a : a + 256]
+        n = len(block)
         table = np.ascontiguousarray(flat @ block.T)  # looked-up inner products, a row a codeword
-        score = np.repeat(-0.5 * norms[:, None], len(block), axis=1)
+        score = np.repeat(-0.5 * norms[:, None], n, axis=1)
         for j in range(m):
             score += table[at[:, j]]
         score = np.ascontiguousarray(score.T)
-        near = np.argpartition(-score, keep - 1, axis=1)[:, :keep] if keep < len(x) else np.broadcast_to(np.arange(len(x)), (len(block), len(x)))
-        exact = square[near] - 2 * np.matmul(x[near], block[:, :, None])[:, :, 0] + (block * block).sum(1)[:, None]
-        exact[ids[near] == q_ids[a : a + 512, None]] = np.inf
-        best = np.argsort(exact, axis=1, kind="stable")[:, :take]
-        d = np.take_along_axis(exact, best, 1)
-        who = ids[np.take_along_axis(near, best, 1)]
-        ok = np.isfinite(d)
-        out.append((np.repeat(q_ids[a : a + 512], take)[ok.ravel()], who[ok], np.maximum(d[ok], 0)))
+        near = np.argpartition(-score, keep - 1, axis=1)[:, :keep] if keep < len(x) else np.broadcast_to(np.arange(len(x)), (n, len(x)))
+        row, col = np.repeat(np.arange(n), near.shape[1]), near.ravel()
+        exact = _squared(x[col], block[row]).reshape(near.shape)
+        own = ids[near] == q_ids[a : a + 256, None]
+        exact[own] = np.inf
+        last = min(k * most, keep) - 1
+        kth = np.partition(exact, last, axis=1)[:, last] if k * most <= keep else np.full(n, np.inf)
+        use = exact <= kth[:, None]
+        row, col, exact = row[use.ravel()], col[use.ravel()], exact[use]
+        if keep < len(x):
+            size = (block.astype(np.float64) ** 2).sum(1)
+            slack = 4 * (dim + 2 * m) * 2.0**-23 * (np.sqrt(size) + reach) ** 2  # rounding of the scores
+            far = 0.5 * (size - slack - kth)  # |q - s| > kth distance + error, in terms of the score
+            far = np.where((np.sqrt(size) + reach) ** 2 < 1e30, far, -np.inf)  # beyond, scores overflow and rule nothing out
+            least = far.astype(np.float32)[:, None] - np.sqrt(kth).astype(np.float32)[:, None] * error.astype(np.float32) - (0.5 * error**2).astype(np.float32)
+            left = ~(score < least)
+            np.put_along_axis(left, near, False, axis=1)
+            again = np.flatnonzero(left.any(axis=1))
+            if len(again):
+                rough = square - 2 * (block[again].astype(np.float64) @ wide.T) + size[again, None]
+                room = 8 * (dim + 4) * 2.0**-52 * (square + size[again, None])
+                r, c = np.nonzero(left[again] & ~(rough > kth[again, None] + room))
+                row, col = np.concatenate((row, again[r])), np.concatenate((col, c))
+                exact = np.concatenate((exact, _squared(x[c], block[again[r]])))
+        ok = (ids[col] != q_ids[a : a + 256][row]) & np.isfinite(exact)
+        row, col, exact = row[ok], col[ok], exact[ok]
+        best = _first(row, exact, ids[col], k)
+        out.append((q_ids[a : a + 256][row[best]], ids[col[best]], exact[best]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -187,8 +237,9 @@ def nearest_neighbours(embeddings: DataFrame, cfg: AnnConfig = AnnConfig()) -> D
 
     Each vector is the sum of a codeword from every codebook, found by beam search, and keeps the squared norm of that sum. A
     query's inner products with all codewords make a table; a vector's score is the sum of its codewords' entries less half its
-    norm. The best ``shortlist`` of each block are reranked by the vectors themselves. Every vector is a query and every block
-    is searched for it; pairs of blocks are the unit of work.
+    norm. The best ``shortlist`` of each block are reranked by the vectors themselves, with the others that the triangle
+    inequality doesn't rule out. Every vector is a query and every block is searched for it; pairs of blocks are the unit of
+    work.
 
     Vectors that are null, empty, or hold nulls or numbers that aren't finite, null ids, and vectors of another length than the
     most frequent (of equally frequent ones the least) have no rows and are nobody's neighbours. Rows equal in id and vector are

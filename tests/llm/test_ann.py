@@ -82,3 +82,16 @@ def test_looked_up_scores_rank_like_distances_to_the_sums():
     for i in range(300):
         mine = sorted(d[q == i])[:3]
         assert np.allclose(mine, np.sort(true[i])[:3], atol=1e-3)
+
+
+def test_recall_at_the_defaults_with_a_hot_cluster(spark):
+    """Half of the vectors lie closer together than the quantisation tells apart, and there are many more than a shortlist."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 64))
+    x[:2000] = x[0] + rng.normal(size=(2000, 64)) * 0.02
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    got = {}
+    for r in nearest_neighbours(_table(spark, x)).collect():
+        got.setdefault(r["vec_id"], set()).add(r["neighbour_id"])
+    near = np.concatenate([np.argsort(((x[i : i + 50, None].astype(np.float64) - x[None]) ** 2).sum(-1), axis=1)[:, :11] for i in range(0, 4000, 50)])
+    assert np.mean([len(got[i] & (set(near[i]) - {i})) / 10 for i in range(4000)]) >= 0.9
