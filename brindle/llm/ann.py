@@ -155,11 +155,26 @@ def _first(q: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return order[np.arange(len(order)) - start < k]
 
 
+def _spare(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """The places of the rows that can be among the best ``k`` of any query: of equal vectors the k + 1 least ids, one of which
+    may be the query's own."""
+    row = np.ascontiguousarray(x + np.float32(0)).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()  # no -0
+    group = np.unique(row, return_inverse=True)[1]
+    order = np.lexsort((ids, group))
+    new = np.ones(len(order), bool)
+    new[1:] = (group[order][1:] != group[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+    order = order[new]
+    return np.sort(order[np.arange(len(order)) - np.searchsorted(group[order], group[order]) <= k])
+
+
 def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, k: int, shortlist: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, neighbour id, squared distance) of the best ``k`` of a block for each query.
 
     With s the sum of x's codewords, |q - x| is at least |q - s| - |x - s|. Where that doesn't put every vector outside the
-    shortlist beyond the shortlist's k-th distance, the vectors that it leaves are measured too, so nothing is cut."""
+    shortlist beyond the shortlist's k-th distance, the vectors that it leaves are measured too, so nothing is cut. What ties
+    with the k-th distance is ranked by id, whatever the order of the rows."""
+    some = _spare(ids, x, k)
+    ids, x, codes, norms = ids[some], x[some], codes[some], norms[some]
     m, words, dim = books.shape
     flat = books.reshape(m * words, dim)
     at = codes.astype(np.int64) + np.arange(m) * words

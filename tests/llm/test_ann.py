@@ -95,3 +95,29 @@ def test_recall_at_the_defaults_with_a_hot_cluster(spark):
         got.setdefault(r["vec_id"], set()).add(r["neighbour_id"])
     near = np.concatenate([np.argsort(((x[i : i + 50, None].astype(np.float64) - x[None]) ** 2).sum(-1), axis=1)[:, :11] for i in range(0, 4000, 50)])
     assert np.mean([len(got[i] & (set(near[i]) - {i})) / 10 for i in range(4000)]) >= 0.9
+
+
+def _searched(x, ids, order, k=10):
+    """{query id: its neighbours by (distance, id)} out of one block whose rows come in ``order``."""
+    x = x.astype(np.float32)
+    books = _books(x, 4, 16)
+    codes, norms = encode(x, books, 4)
+    q, n, d = search_block(ids, x, ids[order], x[order], codes[order], norms[order], books, k, AnnConfig().shortlist)
+    return {i: [int(j) for _, j in sorted(zip(d[q == i], n[q == i], strict=True))] for i in ids}
+
+
+def test_many_equal_vectors_are_ranked_by_id_in_any_order_of_rows():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, 8))
+    x[::10] = x[0]
+    x[1::10] = np.where(np.arange(200)[:, None] % 2, -1.0, 1.0) * np.eye(8)[np.arange(200) // 2 % 8] + x[0]  # all at distance 1
+    ids = np.arange(2000)
+    got = _searched(x, ids, ids)
+    assert got[0] == list(range(10, 110, 10)) and got[50] == [0, 10, 20, 30, 40, 60, 70, 80, 90, 100] and got[1990] == list(range(0, 100, 10))
+    assert got == _searched(x, ids, rng.permutation(2000))
+
+
+def test_repeated_ids_take_one_place():
+    x = np.arange(400, dtype=np.float64)[:, None] * np.ones(4)
+    ids = np.concatenate((np.zeros(100, np.int64), np.arange(1, 301)))
+    assert sorted(set(_searched(x[::-1].copy(), ids, np.arange(400))[1])) == [0, *range(2, 11)]
