@@ -121,3 +121,10 @@ def test_repeated_ids_take_one_place():
     x = np.arange(400, dtype=np.float64)[:, None] * np.ones(4)
     ids = np.concatenate((np.zeros(100, np.int64), np.arange(1, 301)))
     assert sorted(set(_searched(x[::-1].copy(), ids, np.arange(400))[1])) == [0, *range(2, 11)]
+
+
+def test_vectors_far_from_the_origin_against_their_spread():
+    rng = np.random.default_rng(7)
+    x = (100 + rng.normal(size=(500, 64)) * 0.05).astype(np.float32)
+    got, (near, _) = _searched(x, np.arange(500), np.arange(500)), _exact(x, 10)
+    assert all(got[i] and set(got[i]) == set(near[i].tolist()) for i in range(500))
