@@ -217,6 +217,16 @@ def _labels(docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
     return connected_components(joined).select(F.col("node").alias("h"), "label")
 
 
+def _grouped(docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
+    """(doc_id, h, h2, len, keep): each row of a group of texts with the row that stays for it, the least of the group."""
+    rows = _keyed(docs).select("doc_id", "h", "h2", "len")
+    labels = _labels(docs, cfg)
+    texts = rows.groupBy("h", "h2", "len").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    groups = texts.join(labels, "h", "left").withColumn("g", F.coalesce("label", "h")).withColumn("own", F.struct(F.col("least").alias("doc_id"), "h", "h2", "len"))
+    keep = written(groups.withColumn("keep", F.when(F.col("label").isNotNull(), F.min("own").over(Window.partitionBy("g"))).otherwise(F.col("own"))).where("copies > 1 or label is not null").select("h", "h2", "len", "keep"), "keep")
+    return rows.join(keep, ["h", "h2", "len"])
+
+
 def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
     """(doc_id, keep_id): one row for each document that goes, with the document that stays for it (the least doc_id of its group).
 
@@ -226,21 +236,18 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
     in full, so there is no cap and no pair of a band goes unanswered.
 
     Null texts and null ids are in no group. Empty texts, and texts without a word, go with texts equal to them only. Rows
-    with the same doc_id are one document here: a row repeated whole gives no row of this result (``deduplicated`` keeps one of
+    with the same doc_id are one document here, named if any of its texts goes: a row repeated whole gives no row of this result (``deduplicated`` keeps one of
     them). Extra columns are ignored. An empty table gives no rows."""
-    rows = _keyed(docs).select("doc_id", "h", "h2", "len")
-    labels = _labels(docs, cfg)
-    texts = rows.groupBy("h", "h2", "len").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    groups = texts.join(labels, "h", "left").withColumn("g", F.coalesce("label", "h"))
-    keep = written(groups.withColumn("keep_id", F.when(F.col("label").isNotNull(), F.min("least").over(Window.partitionBy("g"))).otherwise(F.col("least"))).where("copies > 1 or label is not null").select("h", "h2", "len", "keep_id"), "keep")
-    return rows.join(keep, ["h", "h2", "len"]).where("doc_id <> keep_id").select("doc_id", "keep_id").distinct()
+    return _grouped(docs, cfg).select("doc_id", F.col("keep.doc_id").alias("keep_id")).where("doc_id <> keep_id").distinct()
 
 
 def deduplicated(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
-    """``docs`` without the documents that ``near_duplicates`` names; of rows equal in doc_id and text, nulls included, one
-    stays. Documents with a null text or id stay otherwise. The columns are those of ``docs``."""
+    """``docs`` with one row of each group of texts: the row with the least doc_id, of several the one with the least key of its
+    text. An id may carry texts of different groups; its rows go or stay one by one. Of rows equal in doc_id and text, nulls
+    included, one stays. Documents with a null text or id stay otherwise. The columns are those of ``docs``."""
     rows, (doc_id, text) = numbered(docs, "doc_id", "text")
-    left = rows.join(near_duplicates(docs, cfg).select(F.col("doc_id").alias("gone")), F.col(doc_id) == F.col("gone"), "left_anti")
-    # the join has brought rows of one doc_id together: no second exchange
-    left = left.withColumns({"h": F.xxhash64(text), "len": F.length(text)}).dropDuplicates([doc_id, "h", "len"])
-    return left.drop("h", "len").toDF(*docs.columns)
+    rows = rows.withColumns({"id": F.col(doc_id).cast("bigint"), "h": F.xxhash64(text), "h2": F.hash(text), "len": F.length(text)})
+    key = ["id", "h", "h2", "len"]
+    gone = _grouped(docs, cfg).withColumnRenamed("doc_id", "id").where(F.struct(*(F.col(c).alias("doc_id" if c == "id" else c) for c in key)) != F.col("keep")).select(key).distinct()
+    # the join has brought rows of one key together: no second exchange
+    return rows.join(gone, key, "left_anti").dropDuplicates(key).select(*(c for c in rows.columns if c not in key)).toDF(*docs.columns)

@@ -132,3 +132,12 @@ def test_components(spark):
     want = _groups((a, b) for a, b in pairs if a is not None and a != b)
     assert got == want
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_every_group_leaves_one_row_where_ids_carry_several_texts(docs):
+    a, b, c = ("a first text of some words", "another one that shares nothing", "unique words only found here")
+    left = lambda *rows: sorted((r["doc_id"], r["text"]) for r in deduplicated(docs(*rows)).collect())
+    assert left((1, a), (5, a), (5, b), (9, b)) == [(1, a), (5, b)]
+    assert left((1, a), (5, a), (5, c)) == [(1, a), (5, c)]
+    near = " ".join(f"w{i}" for i in range(60))
+    assert len(left((1, near), (1, near + " more"), (2, near + " less"), (2, c))) == 2
