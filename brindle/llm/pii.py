@@ -106,6 +106,38 @@ _COMPILED = [(k, re.compile(k.pattern), re.compile(r"(?i)(?<!\w)(?:" + "|".join(
 _AGAINST = re.compile(r"(?i)(?<![\w.@-])(?:example|sample|dummy|isbn|order|version|serial|invoice)(?!\w|[.@-]\w)")
 
 
+#: Where a number may end short of what its pattern takes: before no letter, digit or hyphen.
+_END = re.compile(r"(?<=[^\W_])(?![\w-])")
+_GOES_ON = re.compile(r"[.]\d")
+#: Kinds whose pattern can take in words that follow.
+_CUT = {"IBAN", "CARD", "PHONE"}
+
+
+def _ends(kind: str, pattern: re.Pattern, text: str, m: re.Match) -> list[int]:
+    """The ends to try for a match, best first: the longest that doesn't split a dotted number, then the others; a +1 number
+    with its 11 digits goes before both."""
+    if kind not in _CUT:
+        return [m.end()]
+    a = m.start()
+    ends = [m.end(), *(b for b in range(m.end() - 1, a + 7, -1) if _END.match(text, b) and pattern.fullmatch(text, a, b))]
+    if len(ends) > 1:
+        nanp = kind == "PHONE" and re.match(r"\+1(?!\d)", m[0])
+        ends.sort(key=lambda b: (not (nanp and len(re.sub(r"\D", "", text[a:b])) == 11), bool(_GOES_ON.match(text, b)), -b))
+    return ends
+
+
+def _proposed(kind: Kind, pattern: re.Pattern, text: str) -> Iterator[tuple[int, int, float]]:
+    """(start, end, score) of what passes the kind's check. Where no end of a match does, the search goes on inside it."""
+    at = 0
+    while m := pattern.search(text, at):
+        at = m.start() + 1 if kind.name in _CUT else m.end()
+        for b in _ends(kind.name, pattern, text, m):
+            if (score := kind.check(text[m.start() : b])) is not None:
+                at = b
+                yield m.start(), b, score
+                break
+
+
 def spans(text: str | None) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, score) of each confirmed span, in order, without overlaps; offsets are characters."""
     if not text:
@@ -114,14 +146,11 @@ def spans(text: str | None) -> list[tuple[int, int, str, float]]:
     for rank, (kind, pattern, context) in enumerate(_COMPILED):
         if kind.name == "EMAIL" and "@" not in text:
             continue
-        for m in pattern.finditer(text):
-            score = kind.check(m[0])
-            if score is None:
-                continue
-            around = text[max(0, m.start() - NEAR) : m.start()] + "\n" + text[m.end() : m.end() + NEAR]
+        for a, b, score in _proposed(kind, pattern, text):
+            around = text[max(0, a - NEAR) : a] + "\n" + text[b : b + NEAR]
             score = round(min(1.0, score + 0.2 * bool(context.search(around))) - 0.2 * bool(_AGAINST.search(around)), 4)
             if score >= THRESHOLD:
-                found.append((-score, rank, m.start(), m.end()))
+                found.append((-score, rank, a, b))
     taken: list[tuple[int, int, str, float]] = []  # in order of place
     for score, rank, a, b in sorted(found):
         i = bisect.bisect_left(taken, (a,))
@@ -161,7 +190,7 @@ def _worth(text: Column) -> Column:
 def pii_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end, kind, value, score): a row for each span of personal data in the whole of each text.
 
-    A proposed span whose checksum or shape fails is none; otherwise its score starts from its kind, gains 0.2 if a word of its
+    A proposed span whose checksum or shape fails is cut to a shorter one that passes, or is none; otherwise its score starts from its kind, gains 0.2 if a word of its
     context stands within 48 characters and loses 0.2 if a word like "example" or "invoice" does; from 0.5 it counts. Where
     spans overlap the higher score wins, then the order of ``KINDS``, then the earlier start. Null and empty texts have none.
     Repeated rows give repeated spans, a null doc_id is carried as it is, extra columns are ignored."""

@@ -89,3 +89,23 @@ def test_odd_rows(odd, clashing):
         out = redacted(df)
         assert out.columns == df.columns and sorted(map(repr, out.collect())) == sorted(map(repr, df.collect()))
     assert redacted(odd.select("text")).columns == ["text"]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("call +1 (826) 555-4081 190.137.223.204 now", ["+1 (826) 555-4081", "190.137.223.204"]),
+        ("call +1 (826) 555-4081 12.5.6.7", ["+1 (826) 555-4081", "12.5.6.7"]),
+        ("call +1 (826) 555-4081 2024 2025", ["+1 (826) 555-4081"]),
+        ("call +1 (826) 555-4081 EUR", ["+1 (826) 555-4081"]),
+        ("BE68 5390 0754 7034 EUR", ["BE68 5390 0754 7034"]),
+        ("AT61 1904 3002 3457 3201 BIC", ["AT61 1904 3002 3457 3201"]),
+        ("ES91 2100 0418 4502 0005 1332 BIC 1234", ["ES91 2100 0418 4502 0005 1332"]),
+        ("BE68 5390 0754 7034 190.137.223.204", ["BE68 5390 0754 7034", "190.137.223.204"]),
+        ("BE68 5390 0754 7034 BE68 5390 0754 7034 BE68539007547034", ["BE68 5390 0754 7034", "BE68 5390 0754 7034", "BE68539007547034"]),
+        ("REF1 XX12 BE68 5390 0754 7034", ["BE68 5390 0754 7034"]),
+        ("4111 1111 1111 1111 123", ["4111 1111 1111 1111"]),
+    ],
+)
+def test_what_follows_a_span_does_not_hide_it(text, want):
+    assert [text[a:b] for a, b, _, _ in spans(text)] == want
