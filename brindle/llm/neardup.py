@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import numbered, plain, written
+from .shared import join_skewed, numbered, plain, written
 from .textkernel import Words, blocks, mix, shingles
 
 EMPTY = np.uint16(0xFFFF)
@@ -98,10 +98,23 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.clip((same - accidental) / np.maximum(used, 1), 0, 1), used
 
 
+def _once(texts: list[str], doc_id: list[int]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Equal texts of a batch as one: the place of the first of each, its least id and how many there are."""
+    at: dict[str, int] = {}
+    group = np.fromiter((at.setdefault(t, len(at)) for t in texts), np.int64, len(texts))
+    least = np.full(len(at), np.iinfo(np.int64).max)
+    np.minimum.at(least, group, np.array(doc_id, np.int64))
+    return np.unique(group, return_index=True)[1].tolist(), least, np.bincount(group, minlength=len(at))
+
+
 def _sketches(cfg: NearDupConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            if not batch.num_rows:
+                continue
+            texts = batch.column("text").to_pylist()
+            place, least, copies = _once(texts, batch.column("doc_id").to_pylist())
+            texts = [texts[i] for i in place]
             regs, keys, sizes = [], [], []
             for _, encoded in blocks([t.lower() for t in texts]):
                 words = Words(encoded)
@@ -115,18 +128,18 @@ def _sketches(cfg: NearDupConfig):
                 new = np.ones(len(d), bool)
                 new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1])
                 sizes.append(np.bincount(d[new], minlength=words.n_docs))
-            if not texts:
-                continue
             regs, keys = np.concatenate(regs), np.concatenate(keys)
             n = len(texts)
             yield pa.record_batch(
                 [
-                    *(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "h", "h2", "len")),
+                    *(batch.column(c).take(pa.array(place)) for c in ("h", "h2", "len")),
+                    pa.array(least),
+                    pa.array(copies.astype(np.int64)),
                     pa.array(np.concatenate(sizes).astype(np.int32)),
                     pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * 2 * cfg.registers).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(regs))]),
                     pa.ListArray.from_arrays((np.arange(n + 1) * cfg.bands).astype(np.int32), pa.array(keys.ravel())),
                 ],
-                names=["doc_id", "h", "h2", "len", "n", "sketch", "bands"],
+                names=["h", "h2", "len", "doc_id", "copies", "n", "sketch", "bands"],
             )
 
     return run
@@ -172,59 +185,119 @@ def _verified(cfg: NearDupConfig):
     return run
 
 
+#: In bands of more texts than this, pairs come from shared rare shingles instead of the band itself.
+CROWD = 32
+
+
+def _shingled(cfg: NearDupConfig):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(t, cfg.width).view(np.int64) for t in part.column("text").to_pylist()]
+                ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+                yield pa.record_batch([part.column("id"), part.column("label"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], names=["id", "label", "s"])
+
+    return run
+
+
+def _rare_pairs(texts: DataFrame, cfg: NearDupConfig) -> DataFrame:
+    """(a, b): pairs of ``texts`` (id, label, text) of different labels that can reach the threshold, by prefix filtering.
+
+    With the shingles of every text in one order, rare ones first, two sets of sizes m <= n and a similarity of t or more share
+    one of the first m - ceil(2t / (1 + t) m) + 1 of the smaller and the first n - ceil(tn) + 1 of the larger, and from the
+    first one that they share on, enough are left to share. So no pair is lost, and what many texts have in common, being last
+    in the order, brings none together. Only labels that meet at a shingle are crossed, so near copies, which have one label
+    already, aren't compared with one another."""
+    t, eps = cfg.threshold, 1e-9
+    sets = written(texts.mapInArrow(_shingled(cfg), "id bigint, label bigint, s array<bigint>"), "shingles")
+    flat = sets.select("id", F.explode("s").alias("t"))
+    often = flat.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
+    common = flat.join(often, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("common"))
+    sized = sets.select("id", "label", F.size("s").alias("n")).join(common, "id")
+    probe, index = F.col("n") - F.ceil(F.col("n") * t - eps), F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - eps)
+    # shingles of one text alone come first and match nothing, but take their places
+    entries = sized.select("id", "label", "n", probe.alias("probe"), index.alias("index"), (F.col("n") - F.size("common")).alias("alone"), F.posexplode("common").alias("i", "e"))
+    entries = entries.withColumn("i", F.col("i") + F.col("alone")).where("i <= probe")
+    entries = written(entries.select(F.col("e.t").alias("t"), "id", "label", "n", "i", (F.col("i") <= F.col("index")).alias("short")), "prefixes")
+    met = entries.select("t", "label").distinct()
+    several = met.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("t")
+    met = met.join(several, "t")
+    crossed = met.withColumnRenamed("label", "la").join(met.withColumnRenamed("label", "lb"), "t").where("la < lb")
+    side = lambda c: entries.select("t", *(F.col(x).alias(y + c) for x, y in (("label", "l"), ("id", ""), ("n", "n"), ("i", "i"), ("short", "s"))))
+    pairs = crossed.join(side("a"), ["t", "la"]).join(side("b"), ["t", "lb"])
+    smaller = F.struct("na", "a") < F.struct("nb", "b")
+    left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    pairs = pairs.where(F.when(smaller, F.col("sa")).otherwise(F.col("sb")) & (F.least("na", "nb") >= t * F.greatest("na", "nb") - eps) & (left >= (F.col("na") + F.col("nb")) * (t / (1 + t)) - eps))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """The needed columns alone, so no extra column can clash; h names a text, (h, h2, len) tells texts apart."""
+    """The needed columns alone, so no extra column can clash; (h, h2, len) tells texts apart."""
     text = F.col("text")
     return plain(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), text, F.xxhash64(text).alias("h"), F.hash(text).alias("h2"), F.length(text).alias("len")).where("text is not null and doc_id is not null")
 
 
-def _labels(docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
-    """(h, label): texts that belong to a group of two distinct texts or more, with the group's least h."""
-    keyed = _keyed(docs)
-    sketches = keyed.mapInArrow(_sketches(cfg), "doc_id bigint, h bigint, h2 int, len int, n int, sketch binary, bands array<bigint>")
-    nodes = written(sketches.groupBy("h").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "sketch", "bands"))).where("n > 0"), "nodes")
-
-    # every text with every text that shares a band, as a star round the band's least h
-    w = Window.partitionBy("band")
-    near = F.least("n", "rep.n") >= cfg.threshold * F.greatest("n", "rep.n")
-    buckets = written(
-        nodes.select("h", "n", F.explode("bands").alias("band")).withColumns({"rep": F.min(F.struct("h", "n")).over(w), "members": F.count("*").over(w)}).where("members > 1").select("band", "h", "n", "rep"),
-        "buckets",
-    )
+def _nodes(keyed: DataFrame, cfg: NearDupConfig) -> DataFrame:
+    """(id, h, h2, len, doc_id, copies, n, sketch, bands): every distinct text with its least doc_id. ``id`` is h; of different
+    texts with the same h all but one get another hash."""
+    s = keyed.mapInArrow(_sketches(cfg), "h bigint, h2 int, len int, doc_id bigint, copies bigint, n int, sketch binary, bands array<bigint>")
+    s = s.repartition("h").groupBy("h", "h2", "len").agg(F.min("doc_id").alias("doc_id"), F.sum("copies").alias("copies"), *(F.first(c).alias(c) for c in ("n", "sketch", "bands")))
+    turn = F.row_number().over(Window.partitionBy("h").orderBy("h2", "len"))
+    return written(s.withColumn("id", F.when(turn == 1, F.col("h")).otherwise(F.xxhash64("h", "h2", "len"))), "nodes")
+
+
+def _labels(keyed: DataFrame, nodes: DataFrame, cfg: NearDupConfig) -> DataFrame:
+    """(id, label): texts that belong to a group of two distinct texts or more, with the group's least id."""
+    # every text with every text that shares a band, as a star round the band's least id; counted before rows meet at a band
+    flat = nodes.where("n > 0").select("id", "n", F.explode("bands").alias("band"))
+    shared = flat.groupBy("band").agg(F.min("id").alias("rep"), F.min_by("n", "id").alias("rep_n"), F.count("*").alias("members")).where("members > 1")
+    buckets = written(flat.join(shared, "band"), "buckets")
     # only pairs whose sizes allow the threshold
-    star = buckets.where(near & (F.col("h") > F.col("rep.h"))).select(F.col("rep.h").alias("a"), F.col("h").alias("b")).distinct()
-    sketch = nodes.select("h", "n", "sketch")
-    texts = written(keyed.select("doc_id", "h", "text").join(buckets.select("h").distinct().join(nodes.select("h", "doc_id"), "h"), ["h", "doc_id"]).select("h", "text"), "texts")
+    near = F.least("n", "rep_n") >= cfg.threshold * F.greatest("n", "rep_n")
+    star = buckets.where(near & (F.col("id") > F.col("rep"))).select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+    sketch = nodes.select("id", "n", "sketch")
+    wanted = buckets.select("id").distinct().join(nodes.select("id", "h", "h2", "len", "doc_id"), "id")
+    key = ["doc_id", "h", "h2", "len"]
+    texts = written(keyed.join(wanted, key).dropDuplicates(key).select("id", "text"), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        s = pairs.join(sketch.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-        s = s.join(sketch.select(F.col("h").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b").select("a", "b", "na", "nb", "sa", "sb")
+        s = pairs.join(sketch.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+        s = s.join(sketch.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b").select("a", "b", "na", "nb", "sa", "sb")
         s = s.mapInArrow(_close_enough(cfg), "a bigint, b bigint")
-        t = s.join(texts.select(F.col("h").alias("b"), F.col("text").alias("tb")), "b")
-        t = t.join(texts.select(F.col("h").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+        t = s.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        t = t.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
         return t.mapInArrow(_verified(cfg), "a bigint, b bigint")
 
     linked = written(verify(star), "linked")
     first = connected_components(linked)
     # what the stars left apart: pairs of one band whose texts are still in different components
-    label = buckets.join(first.select(F.col("node").alias("h"), "label"), "h", "left").select("band", "h", "n", F.coalesce("label", "h").alias("label"))
-    label = label.withColumns({"lo": F.min("label").over(w), "hi": F.max("label").over(w)}).where("lo < hi").select("band", "h", "n", "label")
-    x, y = label.alias("x"), label.alias("y")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.h") < F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & (F.least("x.n", "y.n") >= cfg.threshold * F.greatest("x.n", "y.n")))
-    rest = rest.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = written(verify(rest), "more")
-    joined = linked.unionByName(more)
-    return connected_components(joined).select(F.col("node").alias("h"), "label")
+    label = buckets.join(first.select(F.col("node").alias("id"), "label"), "id", "left").select("band", "id", "n", "members", F.coalesce("label", "id").alias("label"))
+    apart = label.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
+    label = written(label.join(apart, "band"), "apart")
+    few = label.where(F.col("members") <= CROWD).drop("members")
+    x, y = few.alias("x"), few.alias("y")
+    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & (F.least("x.n", "y.n") >= cfg.threshold * F.greatest("x.n", "y.n")))
+    rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    crowd = label.where(F.col("members") > CROWD).select("id", "label").distinct()
+    if not crowd.isEmpty():
+        rest = rest.unionByName(_rare_pairs(texts.join(crowd, "id"), cfg))
+    more = written(verify(rest.distinct().join(star, ["a", "b"], "left_anti")), "more")
+    if more.isEmpty():
+        return first.select(F.col("node").alias("id"), "label")
+    return connected_components(linked.unionByName(more)).select(F.col("node").alias("id"), "label")
 
 
 def _grouped(docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
     """(doc_id, h, h2, len, keep): each row of a group of texts with the row that stays for it, the least of the group."""
-    rows = _keyed(docs).select("doc_id", "h", "h2", "len")
-    labels = _labels(docs, cfg)
-    texts = rows.groupBy("h", "h2", "len").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    groups = texts.join(labels, "h", "left").withColumn("g", F.coalesce("label", "h")).withColumn("own", F.struct(F.col("least").alias("doc_id"), "h", "h2", "len"))
-    keep = written(groups.withColumn("keep", F.when(F.col("label").isNotNull(), F.min("own").over(Window.partitionBy("g"))).otherwise(F.col("own"))).where("copies > 1 or label is not null").select("h", "h2", "len", "keep"), "keep")
-    return rows.join(keep, ["h", "h2", "len"])
+    keyed = _keyed(docs)
+    nodes = _nodes(keyed, cfg)
+    labels = _labels(keyed, nodes, cfg)
+    own = F.struct("doc_id", "h", "h2", "len")
+    texts = nodes.select("id", "h", "h2", "len", "copies", own.alias("own")).join(labels, "id", "left")
+    least = texts.where("label is not null").groupBy("label").agg(F.min("own").alias("least"))
+    keep = written(texts.where("copies > 1 or label is not null").join(least, "label", "left").select("h", "h2", "len", "copies", F.coalesce("least", "own").alias("keep")), "keep")
+    return join_skewed(keyed.select("doc_id", "h", "h2", "len"), keep, ["h", "h2", "len"], "copies")
 
 
 def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
@@ -233,7 +306,7 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
     Groups are the connected components of the texts whose shingle sets have a Jaccard similarity of ``threshold`` or more,
     among the pairs that share a band. Texts that are equal are one text from the start, however many documents carry it, and a
     band's texts are first held against one of them only; the pairs that this leaves in different components are then compared
-    in full, so there is no cap and no pair of a band goes unanswered.
+    in full in small bands, and by their rare shingles, which loses none, in crowded ones. There is no cap.
 
     Null texts and null ids are in no group. Empty texts, and texts without a word, go with texts equal to them only. Rows
     with the same doc_id are one document here, named if any of its texts goes: a row repeated whole gives no row of this result (``deduplicated`` keeps one of

@@ -49,6 +49,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_skewed(rows: DataFrame, table: DataFrame, key: list[str], count: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row a key and in ``count`` (dropped) how many of ``rows`` hold it. Keys with a
+    thousandth of all rows or more, a thousand at most, are joined by broadcast where the rows are; only the others are shuffled."""
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot, rest = table.where(F.col(count) * 1000 >= total).drop(count), table.where(F.col(count) * 1000 < total).drop(count)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` by an eager reliable checkpoint."""
     checkpoint_dir(df.sparkSession)

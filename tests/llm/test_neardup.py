@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from brindle.llm import neardup
 from brindle.llm.components import connected_components
 from brindle.llm.neardup import EMPTY, NearDupConfig, band_keys, compress, deduplicated, densified, estimate, jaccard, near_duplicates, registers, shingle_set
 from brindle.llm.textkernel import Words, blocks, shingles
@@ -141,3 +142,53 @@ def test_every_group_leaves_one_row_where_ids_carry_several_texts(docs):
     assert left((1, a), (5, a), (5, c)) == [(1, a), (5, c)]
     near = " ".join(f"w{i}" for i in range(60))
     assert len(left((1, near), (1, near + " more"), (2, near + " less"), (2, c))) == 2
+
+
+def _crowd(n, seed=9):
+    """Short texts with a pair of words in common, and texts with three fifths of a template in common: alike, but no near copies."""
+    rng = random.Random(seed)
+    texts = [f"subscribe now id{i}" for i in range(n)]
+    template = [f"t{j}" for j in range(60)]
+    for i in range(n // 4):
+        texts.append(" ".join([*template, *(f"v{i}x{j}" for j in range(40))]))
+        if i % 9 == 0:
+            texts.append(" ".join([*template, *(f"v{i}x{j}" if j > 3 else f"q{i}x{j}" for j in range(40))]))
+    texts += [texts[3] + " today", "subscribe now", "now subscribe"]
+    rng.shuffle(texts)
+    return dict(enumerate(texts))
+
+
+def test_crowded_bands_lose_no_pair(docs):
+    texts = _crowd(160)
+    got = _groups((r["doc_id"], r["keep_id"]) for r in near_duplicates(docs(*texts.items())).collect())
+    assert got == _brute(texts) and got
+
+
+def test_pairs_of_a_crowd_grow_no_faster_than_the_texts(spark):
+    count = []
+    for n in (500, 1000):
+        rows = [(i, i, t) for i, t in _crowd(n).items()]
+        count.append(neardup._rare_pairs(spark.createDataFrame(rows, "id bigint, label bigint, text string"), CFG).count())
+    assert 0 < count[0] < 500 and count[1] < 2.5 * count[0]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rare_shingles_find_every_pair(spark, seed):
+    rng = random.Random(seed)
+    texts = {}
+    for i in range(120):
+        words = [rng.choice("abcdefgh") for _ in range(rng.randrange(1, 14))]
+        texts[i] = " ".join(words)
+    sets = {i: shingle_set(t, CFG.width) for i, t in texts.items()}
+    label = {i: i % 50 for i in texts}
+    rows = [(i, label[i], t) for i, t in texts.items()]
+    got = {(r["a"], r["b"]) for r in neardup._rare_pairs(spark.createDataFrame(rows, "id bigint, label bigint, text string"), CFG).collect()}
+    want = {(a, b) for a in texts for b in texts if a < b and label[a] != label[b] and jaccard(sets[a], sets[b]) >= CFG.threshold}
+    assert want and want <= got
+
+
+def test_different_texts_with_one_hash_stay_two(spark):
+    rows = [(4, "one text here", 7, 1, 13), (2, "another text", 7, 2, 12), (3, "one text here", 7, 1, 13)]
+    keyed = spark.createDataFrame(rows, "doc_id bigint, text string, h bigint, h2 int, len int")
+    got = sorted((r["h2"], r["doc_id"], r["copies"]) for r in neardup._nodes(keyed, CFG).collect())
+    assert got == [(1, 3, 2), (2, 2, 1)] and neardup._nodes(keyed, CFG).select("id").distinct().count() == 2
