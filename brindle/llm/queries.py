@@ -103,32 +103,42 @@ SELECT page_id, url, octet_length(encode(block))::BIGINT AS n_bytes, md5(block)
 """
 
 
+#: The rules without wildcards, which no host of the tables needs.
+_SUFFIX_PATTERN = "((?:^|[.])(?:" + "|".join(r.replace(".", "[.]") for r in reputation.SUFFIX_RULES if r[0] not in "*!") + ")|(?:^|[.])[^.]+)$"
+
+
 def _parts(table: str, extra: str) -> str:
     return f"""
   SELECT {extra}, host, suffix, CASE WHEN label = '' OR host = suffix THEN host ELSE label || '.' || suffix END AS domain FROM (
    SELECT *, regexp_extract(substr(host, 1, greatest(length(host) - length(suffix) - 1, 0)::BIGINT), '([^.]*)$', 1) AS label FROM (
-    SELECT *, CASE WHEN regexp_matches(host, '{reputation.ADDRESS_PATTERN}') THEN host ELSE regexp_replace(regexp_extract(host, '{reputation.SUFFIX_PATTERN}', 1), '^[.]', '') END AS suffix FROM (
+    SELECT *, CASE WHEN regexp_matches(host, '{reputation.ADDRESS_PATTERN}') THEN host ELSE regexp_replace(regexp_extract(host, '{_SUFFIX_PATTERN}', 1), '^[.]', '') END AS suffix FROM (
      SELECT *, regexp_replace(lower(coalesce(regexp_extract(url, '{reputation.HOST_PATTERN}', 1), '')), '[.]+$', '') AS host FROM {table})))"""
 
 
 def _fit(level: str) -> str:
-    return f"""(SELECT (1 - rho) / rho FROM (SELECT greatest(0.001::DOUBLE, least(0.99::DOUBLE, coalesce(sum((bad - n * mu) ** 2 - n * mu * (1 - mu)) / nullif(sum(n * (n - 1) * mu * (1 - mu)), 0), 0.001::DOUBLE))) AS rho FROM {level}))"""
+    return f"""(SELECT (1 - rho) / rho FROM (SELECT greatest(0.001::DOUBLE, least(0.99::DOUBLE, coalesce(sum((bad - n * mu) ** 2 - n * mu * (1 - mu)) / nullif(sum(n * (n - 1) * mu * (1 - mu)), 0), 0.5::DOUBLE))) AS rho FROM {level}))"""
+
+
+def _post(level: str, keep: str) -> str:
+    return f"""SELECT {keep}, mean, mean * (1 - mean) / (n + s + 1) + (s / (n + s)) * (s / (n + s)) * v AS var FROM (SELECT *, (bad + s * mu) / (n + s) AS mean FROM (SELECT *, {_fit(level)} AS s FROM {level}))"""
 
 
 _OP10 = f"""
 WITH pg AS ({_parts("pages", "page_id, url")}),
 lab AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
-seen AS (SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM pg JOIN lab ON lab.doc_id = try_cast(nullif(regexp_extract(url, '://[^/]+/[a-z]+/([0-9]{{1,18}})', 1), '') AS BIGINT) GROUP BY host),
+seen AS (SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM pg JOIN lab ON lab.doc_id = try_cast(nullif(regexp_extract(url, '{reputation.DOC_PATTERN}', 1), '') AS BIGINT) GROUP BY host),
 h AS (SELECT x.host, domain, suffix, coalesce(n, 0)::DOUBLE AS n, coalesce(bad, 0)::DOUBLE AS bad FROM (SELECT DISTINCT host, domain, suffix FROM pg) x LEFT JOIN seen ON x.host = seen.host),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
-x0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0.5) FROM h) AS mu FROM d GROUP BY suffix),
-x1 AS (SELECT suffix, (bad + s * mu) / (n + s) AS mu FROM (SELECT *, {_fit("x0")} AS s FROM x0)),
-d0 AS (SELECT domain, d.suffix, n, bad, mu FROM d JOIN x1 ON d.suffix = x1.suffix),
-d1 AS (SELECT domain, (bad + s * mu) / (n + s) AS mu FROM (SELECT *, {_fit("d0")} AS s FROM d0)),
-h0 AS (SELECT h.host, h.domain, suffix, n, bad, mu FROM h JOIN d1 ON h.domain = d1.domain),
-h1 AS (SELECT *, (bad + s * mu) / (n + s) AS mean FROM (SELECT *, {_fit("h0")} AS s FROM h0)),
-h2 AS (SELECT *, greatest(0.0::DOUBLE, mean - 1.645::DOUBLE * sqrt(mean * (1 - mean) / (n + s + 1))) AS lower FROM h1)
-SELECT page_id, pg.host, h2.domain, h2.suffix, n::BIGINT AS n, bad::BIGINT AS bad, round(mean, 6) AS mean, round(lower, 6) AS lower, lower <= 0.15 AS kept
+t0 AS (SELECT coalesce(sum(n), 0)::DOUBLE AS n, (coalesce(sum(bad), 0)::DOUBLE + 1) / (coalesce(sum(n), 0)::DOUBLE + 2) AS mu FROM h),
+t AS (SELECT mu, mu * (1 - mu) / (n + 3) AS v FROM t0),
+x0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(mu) AS mu, any_value(v) AS v FROM d, t GROUP BY suffix),
+x1 AS ({_post("x0", "suffix")}),
+d0 AS (SELECT domain, d.suffix, n, bad, x1.mean AS mu, x1.var AS v FROM d JOIN x1 ON d.suffix = x1.suffix),
+d1 AS ({_post("d0", "domain")}),
+h0 AS (SELECT h.host, h.domain, suffix, n, bad, d1.mean AS mu, d1.var AS v FROM h JOIN d1 ON h.domain = d1.domain),
+h1 AS ({_post("h0", "host, domain, suffix, n, bad")}),
+h2 AS (SELECT *, greatest(0.0::DOUBLE, mean - 1.645::DOUBLE * sqrt(var)) AS lower FROM h1)
+SELECT page_id, pg.host, h2.domain, h2.suffix, n::BIGINT AS n, bad::BIGINT AS bad, round(mean, 6) AS mean, round(lower, 6) AS lower, lower <= greatest(0.15, (SELECT mu FROM t)) AS kept
 FROM pg JOIN h2 ON pg.host = h2.host
 """
 
