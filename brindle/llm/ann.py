@@ -15,9 +15,10 @@ from .shared import plain, written
 
 @dataclass(frozen=True)
 class AnnConfig:
-    """``codebooks`` of ``words`` full-dimensional codewords each; ``beam`` candidates are kept while encoding. Vectors are
-    searched in blocks of about ``block``; in each block a query's best ``shortlist`` share by looked-up scores are reranked
-    exactly, and so is every other that the quantisation error doesn't rule out."""
+    """``codebooks`` of ``words`` full-dimensional codewords each, fitted in ``rounds`` of Lloyd's algorithm on at most ``sample``
+    vectors; ``beam`` candidates are kept while encoding. Vectors are searched in blocks of about ``block`` by queries in blocks
+    of about ``queries``; in each block a query's best ``shortlist`` share by looked-up scores are reranked exactly, and so is
+    every other that the quantisation error doesn't rule out."""
 
     k: int = 10
     codebooks: int = 16
@@ -25,6 +26,8 @@ class AnnConfig:
     rounds: int = 3
     beam: int = 8
     block: int = 8192
+    queries: int = 8192
+    sample: int = 32_768
     shortlist: float = 0.025
 
 
@@ -75,55 +78,32 @@ def _packed(x: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in np.ascontiguousarray(x)], pa.binary())
 
 
-def _lloyd(books: list[np.ndarray], centers: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, counts = np.zeros(centers.shape, np.float64), np.zeros(len(centers), np.int64)
-        for b in batches:
-            x = _matrix(b.column("v"))
-            if len(x):
-                r = greedy_residual(x, books)
-                code = nearest(r, centers)
-                counts += np.bincount(code, minlength=len(centers))
-                order = np.argsort(code, kind="stable")
-                first = np.flatnonzero(np.concatenate(([True], np.diff(code[order]) > 0)))
-                sums[code[order][first]] += np.add.reduceat(r[order].astype(np.float64), first)
-        yield pa.record_batch([pa.array([sums.tobytes()]), pa.array([counts.tobytes()])], names=["sums", "counts"])
-
-    return run
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums = counts = None
-    for b in batches:
-        for s, c in zip(b.column("sums").to_pylist(), b.column("counts").to_pylist(), strict=True):
-            s, c = np.frombuffer(s, np.float64), np.frombuffer(c, np.int64)
-            sums, counts = (s, c) if sums is None else (sums + s, counts + c)
-    if sums is not None:
-        yield pa.record_batch([pa.array([sums.tobytes()]), pa.array([counts.tobytes()])], names=["sums", "counts"])
-
-
-def train_codebooks(vectors: DataFrame, cfg: AnnConfig, dim: int) -> np.ndarray:
-    """(codebooks, words, dim): each codebook by Lloyd rounds over what the codebooks before it leave of every vector. Codewords
-    start from vectors that a hash of the id picks. Sums are taken in each task and added up in two steps, so the driver gets a
-    few rows however many tasks there are."""
-    seeds = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").select("v").limit(cfg.codebooks * cfg.words).toArrow().column("v").combine_chunks()
-    seeds = _matrix(seeds)
-    books: list[np.ndarray] = []
+def fit_codebooks(x: np.ndarray, cfg: AnnConfig) -> np.ndarray:
+    """(codebooks, words, dim): each codebook by Lloyd rounds over what the codebooks before it leave of the rows of ``x``. Codewords
+    start from rows taken in turns, moved a little so that equal ones part."""
+    left, books = x.astype(np.float32), []
     for j in range(cfg.codebooks):
-        centers = greedy_residual(seeds[np.arange(cfg.words) * cfg.codebooks % len(seeds) + (j if len(seeds) >= cfg.codebooks * cfg.words else 0)], books)
-        centers = centers + np.random.default_rng(j).normal(0, 1e-4, centers.shape).astype(np.float32)
+        start = np.arange(cfg.words) * cfg.codebooks % len(x) + (j if len(x) >= cfg.codebooks * cfg.words else 0)
+        centers = left[start] + np.random.default_rng(j).normal(0, 1e-4, (cfg.words, x.shape[1])).astype(np.float32)
         for _ in range(cfg.rounds):
-            part = vectors.select("v").mapInArrow(_lloyd(books, centers), "sums binary, counts binary")
-            rows = part.repartition(8).mapInArrow(_summed, "sums binary, counts binary").collect()
-            sums = sum(np.frombuffer(r["sums"], np.float64).reshape(centers.shape) for r in rows)
-            counts = sum(np.frombuffer(r["counts"], np.int64) for r in rows)
-            some = counts > 0
-            centers = centers.copy()
-            centers[some] = (sums[some] / counts[some, None]).astype(np.float32)
+            code = nearest(left, centers)
+            counts = np.bincount(code, minlength=cfg.words)
+            order = np.argsort(code, kind="stable")
+            some = np.flatnonzero(counts)
+            sums = np.add.reduceat(left[order].astype(np.float64), np.concatenate(([0], np.cumsum(counts[some])[:-1])))
+            centers[some] = (sums / counts[some, None]).astype(np.float32)
         books.append(centers)
+        left = left - centers[nearest(left, centers)]
     return np.stack(books)
 
 
+def train_codebooks(vectors: DataFrame, cfg: AnnConfig) -> np.ndarray:
+    """The codebooks of at most ``cfg.sample`` vectors, picked by a hash of the id: so many vectors reach the driver, whatever
+    the table's size."""
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").select("v").limit(cfg.sample).toArrow()
+    return fit_codebooks(_matrix(rows.column("v").combine_chunks()), cfg)
+
+
 def _coded(books: np.ndarray, beam: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,14 +227,15 @@ def _finite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["vec_id", "v"])
 
 
-def nearest_neighbours(embeddings: DataFrame, cfg: AnnConfig = AnnConfig()) -> DataFrame:
-    """(vec_id, neighbour_id, rank, distance): the ``k`` nearest other vectors of every vector, by Euclidean distance.
+def nearest_neighbours(embeddings: DataFrame, cfg: AnnConfig = AnnConfig(), every: int = 1) -> DataFrame:
+    """(vec_id, neighbour_id, rank, distance): the ``k`` nearest other vectors, by Euclidean distance, of each vector whose id
+    ``every`` divides, among all vectors.
 
     Each vector is the sum of a codeword from every codebook, found by beam search, and keeps the squared norm of that sum. A
     query's inner products with all codewords make a table; a vector's score is the sum of its codewords' entries less half its
     norm. The best ``shortlist`` of each block are reranked by the vectors themselves, with the others that the triangle
-    inequality doesn't rule out. Every vector is a query and every block is searched for it; pairs of blocks are the unit of
-    work.
+    inequality doesn't rule out. Every block is searched for every query; a block of queries with a block of vectors is the unit
+    of work.
 
     Vectors that are null, empty, or hold nulls or numbers that aren't finite, null ids, and vectors of another length than the
     most frequent (of equally frequent ones the least) have no rows and are nobody's neighbours. Rows equal in id and vector are
@@ -263,17 +244,17 @@ def nearest_neighbours(embeddings: DataFrame, cfg: AnnConfig = AnnConfig()) -> D
     spark = embeddings.sparkSession
     rows = plain(embeddings, "vec_id", "embedding").selectExpr("cast(vec_id as bigint) as vec_id", "cast(embedding as array<float>) as embedding").where("vec_id is not null and embedding is not null")
     vectors = written(rows.mapInArrow(_finite, "vec_id bigint, v binary").distinct(), "vectors")
-    lengths = vectors.groupBy(F.length("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    lengths = vectors.groupBy(F.length("v").alias("n")).agg(F.count("*").alias("count"), F.count_if(F.col("vec_id") % every == 0).alias("asked")).orderBy(F.desc("count"), "n").limit(1).collect()
     if not lengths:
         return spark.createDataFrame([], "vec_id bigint, neighbour_id bigint, rank int, distance double")
-    size, n = lengths[0]["n"], lengths[0]["count"]
+    size, n, asked = lengths[0]
     vectors = vectors.where(F.length("v") == size)
-    books = train_codebooks(vectors, cfg, size // 4)
-    n_blocks = max(1, -(-n // cfg.block))
-    coded = written(vectors.mapInArrow(_coded(books, cfg.beam), "vec_id bigint, v binary, codes binary, norm float").withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)).cast("int")), "coded")
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    left = coded.select(F.col("block").alias("qb"), "vec_id", "v", every.alias("db"))
-    right = coded.select(F.col("block").alias("db"), "vec_id", "v", "codes", "norm", every.alias("qb"))
+    books = train_codebooks(vectors, cfg)
+    n_blocks, n_asked = max(1, -(-n // cfg.block)), max(1, -(-asked // cfg.queries))
+    part = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
+    coded = written(vectors.mapInArrow(_coded(books, cfg.beam), "vec_id bigint, v binary, codes binary, norm float"), "coded")
+    left = vectors.where(F.col("vec_id") % every == 0).select(part(n_asked).alias("qb"), "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("db"))
+    right = coded.select(part(n_blocks).alias("db"), "vec_id", "v", "codes", "norm", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))).alias("qb"))
     found = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInArrow(_searcher(books, cfg), "vec_id bigint, neighbour_id bigint, d double")
     found = found.groupBy("vec_id", "neighbour_id").agg(F.min("d").alias("d"))
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("d", "neighbour_id"))

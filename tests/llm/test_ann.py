@@ -128,3 +128,18 @@ def test_vectors_far_from_the_origin_against_their_spread():
     x = (100 + rng.normal(size=(500, 64)) * 0.05).astype(np.float32)
     got, (near, _) = _searched(x, np.arange(500), np.arange(500)), _exact(x, 10)
     assert all(got[i] and set(got[i]) == set(near[i].tolist()) for i in range(500))
+
+
+def test_queries_are_the_ids_that_a_number_divides(spark):
+    x = np.random.default_rng(8).normal(size=(700, 16)).astype(np.float32)
+    x[100:140] = x[0]
+    ids = np.arange(-50, 650)
+    cfg = AnnConfig(block=90, queries=4, sample=300, codebooks=4, words=16)
+    got = {}
+    for r in nearest_neighbours(_table(spark, x, ids), cfg, every=50).collect():
+        got.setdefault(r["vec_id"], {})[r["rank"]] = r["neighbour_id"]
+    d = ((x[:, None].astype(np.float64) - x[None]) ** 2).sum(-1)
+    assert sorted(got) == list(range(-50, 650, 50))
+    for i, near in got.items():
+        order = [j for j in np.lexsort((ids, d[i + 50])) if ids[j] != i][:10]
+        assert [near[k] for k in range(1, 11)] == ids[order].tolist()
