@@ -93,10 +93,10 @@ class Kind:
 
 #: In the order in which they win where spans overlap with the same score.
 KINDS = (
-    Kind("SECRET", r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key))\s*[:=]\s*[\"']?[^\s\"'\[][^\s\"']{5,}|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[0-9A-Za-z]{36}\b", _secret, "token secret key password login credential"),
+    Kind("SECRET", r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key))\s*[:=]\s*[\"']?(?!\[(?:SECRET|EMAIL|IBAN|CARD|SSN|PHONE|IP|DNI)\])[^\s\"']{6,}|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[0-9A-Za-z]{36}\b", _secret, "token secret key password login credential"),
     Kind("EMAIL", r"(?<![\w.+-])[A-Za-z0-9_.+-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])", _email, "mail email e-mail contact kontakt correo courriel"),
     Kind("IBAN", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban, "iban account konto compte cuenta bank banque banco"),
-    Kind("CARD", r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5})(?![\w-])", _card, "card visa mastercard amex credit debit karte carte tarjeta payment"),
+    Kind("CARD", r"(?<![\w.-])(?:\d{13,19}|\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?:[ -]?\d{3})?|\d{4}[ -]?\d{6}[ -]?\d{4,5})(?![\w-])", _card, "card visa mastercard amex credit debit karte carte tarjeta payment"),
     Kind("SSN", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn, "ssn social security"),
     Kind("PHONE", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?![\w-])|(?<![\w.+-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\w-])", _phone, "phone tel telephone mobile call cell fax telefon telefono téléphone anruf"),
     Kind("IP", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", _ip, "ip address host server adresse dirección"),
