@@ -39,6 +39,13 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
+#: Letters of two bytes in UTF-8 by their first byte: which second bytes make one, and which a capital.
+_TWO = np.zeros((256, 256), bool)
+_TWO_UPPER = np.zeros((256, 256), bool)
+for _lead in range(0xC3, 0xD4):
+    for _b in range(0x80, 0xC0):
+        _c = bytes([_lead, _b]).decode()
+        _TWO[_lead, _b], _TWO_UPPER[_lead, _b] = _c.isalpha(), _c.isupper()
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "@$!|*"]] = True
 _JOINT = np.zeros(256, bool)
@@ -110,6 +117,17 @@ def _unmasked(buf: np.ndarray, is_end: np.ndarray) -> np.ndarray:
     return keep
 
 
+def _letters(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where letters and capitals end, those of two bytes too, and which bytes belong to a capital."""
+    letter, upper = _LETTER[buf], _UPPER[buf]
+    shouted = upper.copy()
+    second = np.flatnonzero((buf[1:] & 0xC0 == 0x80) & (buf[:-1] >= 0xC3) & (buf[:-1] < 0xD4)) + 1
+    letter[second] = _TWO[buf[second - 1], buf[second]]
+    upper[second] = _TWO_UPPER[buf[second - 1], buf[second]]
+    shouted[second] = shouted[second - 1] = upper[second]
+    return letter, upper, shouted
+
+
 def features(texts: list[str | None], learned: Lexicon = NO_LEXICON) -> np.ndarray:
     """(n, len(FEATURES)) over the whole of each text; all zeros for null and empty texts."""
     out = []
@@ -156,11 +174,12 @@ def features(texts: list[str | None], learned: Lexicon = NO_LEXICON) -> np.ndarr
         starts = np.concatenate(([0], np.cumsum([len(b) for b in raw])))
         buf = np.frombuffer(b"".join(raw), np.uint8)
         size = np.maximum(np.diff(starts), 1).astype(float)
-        letters, upper, digit, punct = _LETTER[buf], _UPPER[buf], _DIGIT[buf], _PUNCT[buf]
+        digit, punct = _DIGIT[buf], _PUNCT[buf]
+        letters, upper, _ = _letters(buf)
         again = np.zeros(len(buf), bool)
         again[1:] = punct[1:] & (buf[1:] == buf[:-1])
         rw = Words(raw)
-        ups, lets, digs = (np.concatenate(([0], np.cumsum(t[rw.buf]))) for t in (_UPPER, _LETTER, _DIGIT))
+        ups, lets, digs = (np.concatenate(([0], np.cumsum(t))) for t in (_letters(rw.buf)[2], _LETTER[rw.buf], _DIGIT[rw.buf]))
         long = rw.end - rw.start
         shout = (ups[rw.end] - ups[rw.start] == long) & (long > 2)
         mixed = (lets[rw.end] > lets[rw.start]) & (digs[rw.end] > digs[rw.start])

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -27,6 +28,48 @@ def test_obfuscated_words_are_hits():
     assert _f("Plain end.Next (words) 3.5 a-b")["obfuscation_rate"] == 0
 
 
+def _slow(text):
+    """Ten of the features, a character and a word at a time."""
+    words = re.findall("[0-9A-Za-z\\u0080-\\U0010ffff]+", text)
+    low = [w.lower() for w in words]
+    n = max(len(words), 1)
+    at = [i for i, w in enumerate(low) if w in toxicity.LEXICON]
+    letters = [c for c in text if c.isalpha() and len(c.encode()) < 3]
+    raw = text.encode()
+    punct = lambda b: 33 <= b < 127 and not chr(b).isalnum()
+    size = max(len(raw), 1)
+    return {
+        "second_person_density": sum(w in toxicity.SECOND_PERSON for w in low) / n,
+        "near_second_person": sum(any(w in toxicity.SECOND_PERSON for w in low[max(0, i - 5) : i + 6]) for i in at) / n,
+        "capital_rate": sum(c.isupper() for c in letters) / max(len(letters), 1),
+        "shouted_words": sum(len(w.encode()) > 2 and all(c.isupper() for c in w) for w in words) / n,
+        "punctuation_rate": sum(map(punct, raw)) / size,
+        "exclamation_rate": text.count("!") / size,
+        "question_rate": text.count("?") / size,
+        "repeated_punctuation": sum(punct(a) and a == b for a, b in zip(raw, raw[1:], strict=False)) / size,
+        "mixed_words": sum(bool(re.search("[A-Za-z]", w)) and bool(re.search("[0-9]", w)) for w in words) / n,
+        "digit_rate": sum(c in "0123456789" for c in text) / size,
+        "log_words": np.log1p(len(words)),
+        "beyond_ascii": sum(b > 127 for b in raw) / size,
+        "lexicon_plain": len(at),
+    }
+
+
+def test_features_against_a_slow_extractor():
+    rng = random.Random(5)
+    bits = ["idiot", "Idiot", "scum", "you", "YOU", "Sie", "ÉTÉ", "été", "ΔΕΛΤΑ", "МИР", "мир", "a1b2", "42", "!!", "??", "...", "fine", "DAY", "e-mail", "(x)", "ß", "日本", "😀", "trash", "st*pid"]
+    for _ in range(200):
+        text = " ".join(rng.choice(bits) for _ in range(rng.randrange(0, 25)))
+        got, want = _f(text), _slow(text)
+        hits = want.pop("lexicon_plain")
+        assert np.expm1(got["lexicon_hits"]) == pytest.approx(hits + text.split().count("st*pid"), abs=1e-6)
+        assert {k: got[k] for k in want} == pytest.approx(want), text
+
+
+def test_accented_capitals_are_capitals():
+    assert _f("ÉTÉ")["capital_rate"] == 1 and _f("ÉTÉ")["shouted_words"] == 1 and _f("Été")["capital_rate"] == pytest.approx(1 / 3)
+
+
 def test_features_do_not_depend_on_the_batch(monkeypatch):
     texts = ["idiot you", None, "", "Fine day.", "été ÉTÉ m0ron", "x" * 5000, "a!!b"] * 4
     one = np.concatenate([features([t]) for t in texts])
