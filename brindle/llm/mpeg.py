@@ -240,8 +240,10 @@ def _vbr_table(buf: bytes, at: int, h: Header, out: Audio) -> bool:
 
 
 def parse_mpeg(buf: bytes) -> Audio:
-    """Everything of one stream. A frame counts if its header fits the stream's (version, layer, sample rate) and it is whole,
-    and, where the reader had lost step, if another such header or the end of the data follows it."""
+    """Everything of one stream. A frame counts if its header fits the stream's (version, layer) and it is whole, and, where the
+    reader had lost step, if a header of the same version, layer and sample rate or the end of the data follows it. In step, the
+    sample rate may change from frame to frame, as where streams were joined: every frame's time is counted at its own rate, and
+    ``sample_rate`` is the first frame's."""
     out = Audio()
     at = 0
     while (after := _id3v2(buf, at, out.tags)) > at:
@@ -447,5 +449,7 @@ def _carrying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def as_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, media): each whole text as an MPEG audio stream; null texts have null media."""
+    """(doc_id, media): each whole text as an MPEG audio stream; null texts have null media, empty ones a stream of one frame. A null
+    id is carried and shapes the stream like 0; repeated rows give equal streams; extra columns are ignored; an empty table gives
+    no rows."""
     return plain(docs, "doc_id", "text").selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(_carrying, "doc_id bigint, media binary")
