@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import plain, written
+from .shared import Scratch, plain, written
 
 
 @dataclass(frozen=True)
@@ -243,9 +243,11 @@ def nearest_neighbours(embeddings: DataFrame, cfg: AnnConfig = AnnConfig(), ever
     single vector or an empty table gives none. Extra columns are ignored."""
     spark = embeddings.sparkSession
     rows = plain(embeddings, "vec_id", "embedding").selectExpr("cast(vec_id as bigint) as vec_id", "cast(embedding as array<float>) as embedding").where("vec_id is not null and embedding is not null")
-    vectors = written(rows.mapInArrow(_finite, "vec_id bigint, v binary").distinct(), "vectors")
+    scratch = Scratch(spark)
+    vectors = every_vector = scratch.written(rows.mapInArrow(_finite, "vec_id bigint, v binary").distinct(), "vectors")
     lengths = vectors.groupBy(F.length("v").alias("n")).agg(F.count("*").alias("count"), F.count_if(F.col("vec_id") % every == 0).alias("asked")).orderBy(F.desc("count"), "n").limit(1).collect()
     if not lengths:
+        scratch.drop(every_vector)
         return spark.createDataFrame([], "vec_id bigint, neighbour_id bigint, rank int, distance double")
     size, n, asked = lengths[0]
     vectors = vectors.where(F.length("v") == size)
@@ -253,7 +255,8 @@ def nearest_neighbours(embeddings: DataFrame, cfg: AnnConfig = AnnConfig(), ever
     n_blocks, n_asked = max(1, -(-n // cfg.block)), max(1, -(-asked // cfg.queries))
     part = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
     coded = written(vectors.mapInArrow(_coded(books, cfg.beam), "vec_id bigint, v binary, codes binary, norm float"), "coded")
-    left = vectors.where(F.col("vec_id") % every == 0).select(part(n_asked).alias("qb"), "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("db"))
+    scratch.drop(every_vector)
+    left = coded.where(F.col("vec_id") % every == 0).select(part(n_asked).alias("qb"), "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("db"))
     right = coded.select(part(n_blocks).alias("db"), "vec_id", "v", "codes", "norm", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))).alias("qb"))
     found = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInArrow(_searcher(books, cfg), "vec_id bigint, neighbour_id bigint, d double")
     found = found.groupBy("vec_id", "neighbour_id").agg(F.min("d").alias("d"))

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import Scratch
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, label) for each node of ``edges`` (a BIGINT, b BIGINT), label being the least node of its component.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until the edges no longer change; each round groups the
-    edges twice and ends in a reliable checkpoint, so neither the plan nor the lineage grows. Self-loops, repeated edges and
-    either direction are accepted; null ends are dropped; no edges give no rows."""
+    edges twice and ends in a table in the shared folder, so neither the plan nor the lineage grows. Self-loops, repeated edges and
+    either direction are accepted; null ends are dropped; no edges give no rows. The last round's table is one of ``scratch``."""
+    scratch = scratch or Scratch(edges.sparkSession)
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    e, before = cut(e), None
+    e, before = scratch.written(e, "edges"), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: every greater neighbour of u, to the least neighbour of u (or u)
@@ -24,7 +25,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # small star: u and its lesser neighbours, to the least of them
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = cut(small)
+        last, e = e, scratch.written(small, "edges")
+        scratch.drop(last)
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if before == state:
             break

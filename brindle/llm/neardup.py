@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import join_skewed, numbered, plain, written
+from .shared import Scratch, join_skewed, numbered, plain, written
 from .textkernel import Words, blocks, mix, shingles
 
 EMPTY = np.uint16(0xFFFF)
@@ -201,7 +201,7 @@ def _shingled(cfg: NearDupConfig):
     return run
 
 
-def _rare_pairs(texts: DataFrame, cfg: NearDupConfig) -> DataFrame:
+def _rare_pairs(texts: DataFrame, cfg: NearDupConfig, scratch: Scratch) -> DataFrame:
     """(a, b): pairs of ``texts`` (id, label, text) of different labels that can reach the threshold, by prefix filtering.
 
     With the shingles of every text in one order, rare ones first, two sets of sizes m <= n and a similarity of t or more share
@@ -210,7 +210,7 @@ def _rare_pairs(texts: DataFrame, cfg: NearDupConfig) -> DataFrame:
     in the order, brings none together. Only labels that meet at a shingle are crossed, so near copies, which have one label
     already, aren't compared with one another."""
     t, eps = cfg.threshold, 1e-9
-    sets = written(texts.mapInArrow(_shingled(cfg), "id bigint, label bigint, s array<bigint>"), "shingles")
+    sets = scratch.written(texts.mapInArrow(_shingled(cfg), "id bigint, label bigint, s array<bigint>"), "shingles")
     flat = sets.select("id", F.explode("s").alias("t"))
     often = flat.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
     common = flat.join(often, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("common"))
@@ -219,7 +219,7 @@ def _rare_pairs(texts: DataFrame, cfg: NearDupConfig) -> DataFrame:
     # shingles of one text alone come first and match nothing, but take their places
     entries = sized.select("id", "label", "n", probe.alias("probe"), index.alias("index"), (F.col("n") - F.size("common")).alias("alone"), F.posexplode("common").alias("i", "e"))
     entries = entries.withColumn("i", F.col("i") + F.col("alone")).where("i <= probe")
-    entries = written(entries.select(F.col("e.t").alias("t"), "id", "label", "n", "i", (F.col("i") <= F.col("index")).alias("short")), "prefixes")
+    entries = scratch.written(entries.select(F.col("e.t").alias("t"), "id", "label", "n", "i", (F.col("i") <= F.col("index")).alias("short")), "prefixes")
     met = entries.select("t", "label").distinct()
     several = met.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("t")
     met = met.join(several, "t")
@@ -238,28 +238,28 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return plain(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), text, F.xxhash64(text).alias("h"), F.hash(text).alias("h2"), F.length(text).alias("len")).where("text is not null and doc_id is not null")
 
 
-def _nodes(keyed: DataFrame, cfg: NearDupConfig) -> DataFrame:
+def _nodes(keyed: DataFrame, cfg: NearDupConfig, scratch: Scratch) -> DataFrame:
     """(id, h, h2, len, doc_id, copies, n, sketch, bands): every distinct text with its least doc_id. ``id`` is h; of different
     texts with the same h all but one get another hash."""
     s = keyed.mapInArrow(_sketches(cfg), "h bigint, h2 int, len int, doc_id bigint, copies bigint, n int, sketch binary, bands array<bigint>")
     s = s.repartition("h").groupBy("h", "h2", "len").agg(F.min("doc_id").alias("doc_id"), F.sum("copies").alias("copies"), *(F.first(c).alias(c) for c in ("n", "sketch", "bands")))
     turn = F.row_number().over(Window.partitionBy("h").orderBy("h2", "len"))
-    return written(s.withColumn("id", F.when(turn == 1, F.col("h")).otherwise(F.xxhash64("h", "h2", "len"))), "nodes")
+    return scratch.written(s.withColumn("id", F.when(turn == 1, F.col("h")).otherwise(F.xxhash64("h", "h2", "len"))), "nodes")
 
 
-def _labels(keyed: DataFrame, nodes: DataFrame, cfg: NearDupConfig) -> DataFrame:
+def _labels(keyed: DataFrame, nodes: DataFrame, cfg: NearDupConfig, scratch: Scratch) -> DataFrame:
     """(id, label): texts that belong to a group of two distinct texts or more, with the group's least id."""
     # every text with every text that shares a band, as a star round the band's least id; counted before rows meet at a band
     flat = nodes.where("n > 0").select("id", "n", F.explode("bands").alias("band"))
     shared = flat.groupBy("band").agg(F.min("id").alias("rep"), F.min_by("n", "id").alias("rep_n"), F.count("*").alias("members")).where("members > 1")
-    buckets = written(flat.join(shared, "band"), "buckets")
+    buckets = scratch.written(flat.join(shared, "band"), "buckets")
     # only pairs whose sizes allow the threshold
     near = F.least("n", "rep_n") >= cfg.threshold * F.greatest("n", "rep_n")
     star = buckets.where(near & (F.col("id") > F.col("rep"))).select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
     sketch = nodes.select("id", "n", "sketch")
     wanted = buckets.select("id").distinct().join(nodes.select("id", "h", "h2", "len", "doc_id"), "id")
     key = ["doc_id", "h", "h2", "len"]
-    texts = written(keyed.join(wanted, key).dropDuplicates(key).select("id", "text"), "texts")
+    texts = scratch.written(keyed.join(wanted, key).dropDuplicates(key).select("id", "text"), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         s = pairs.join(sketch.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
@@ -269,34 +269,34 @@ def _labels(keyed: DataFrame, nodes: DataFrame, cfg: NearDupConfig) -> DataFrame
         t = t.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
         return t.mapInArrow(_verified(cfg), "a bigint, b bigint")
 
-    linked = written(verify(star), "linked")
-    first = connected_components(linked)
+    linked = scratch.written(verify(star), "linked")
+    first = connected_components(linked, scratch)
     # what the stars left apart: pairs of one band whose texts are still in different components
     label = buckets.join(first.select(F.col("node").alias("id"), "label"), "id", "left").select("band", "id", "n", "members", F.coalesce("label", "id").alias("label"))
     apart = label.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    label = written(label.join(apart, "band"), "apart")
+    label = scratch.written(label.join(apart, "band"), "apart")
     few = label.where(F.col("members") <= CROWD).drop("members")
     x, y = few.alias("x"), few.alias("y")
     rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & (F.least("x.n", "y.n") >= cfg.threshold * F.greatest("x.n", "y.n")))
     rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     crowd = label.where(F.col("members") > CROWD).select("id", "label").distinct()
     if not crowd.isEmpty():
-        rest = rest.unionByName(_rare_pairs(texts.join(crowd, "id"), cfg))
-    more = written(verify(rest.distinct().join(star, ["a", "b"], "left_anti")), "more")
+        rest = rest.unionByName(_rare_pairs(texts.join(crowd, "id"), cfg, scratch))
+    more = scratch.written(verify(rest.distinct().join(star, ["a", "b"], "left_anti")), "more")
     if more.isEmpty():
         return first.select(F.col("node").alias("id"), "label")
-    return connected_components(linked.unionByName(more)).select(F.col("node").alias("id"), "label")
+    return connected_components(linked.unionByName(more), scratch).select(F.col("node").alias("id"), "label")
 
 
 def _grouped(docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
     """(doc_id, h, h2, len, keep): each row of a group of texts with the row that stays for it, the least of the group."""
     keyed = _keyed(docs)
-    nodes = _nodes(keyed, cfg)
-    labels = _labels(keyed, nodes, cfg)
     own = F.struct("doc_id", "h", "h2", "len")
-    texts = nodes.select("id", "h", "h2", "len", "copies", own.alias("own")).join(labels, "id", "left")
-    least = texts.where("label is not null").groupBy("label").agg(F.min("own").alias("least"))
-    keep = written(texts.where("copies > 1 or label is not null").join(least, "label", "left").select("h", "h2", "len", "copies", F.coalesce("least", "own").alias("keep")), "keep")
+    with Scratch(docs.sparkSession) as scratch:
+        nodes = _nodes(keyed, cfg, scratch)
+        texts = nodes.select("id", "h", "h2", "len", "copies", own.alias("own")).join(_labels(keyed, nodes, cfg, scratch), "id", "left")
+        least = texts.where("label is not null").groupBy("label").agg(F.min("own").alias("least"))
+        keep = written(texts.where("copies > 1 or label is not null").join(least, "label", "left").select("h", "h2", "len", "copies", F.coalesce("least", "own").alias("keep")), "keep")
     return join_skewed(keyed.select("doc_id", "h", "h2", "len"), keep, ["h", "h2", "len"], "copies")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import plain, written
+from .shared import Scratch, plain, written
 from .tokens import word_count
 
 #: Credits are counted in this fraction of a token, so quanta need not be whole tokens.
@@ -45,7 +45,8 @@ def packed(docs: DataFrame, window: int = 2048, weights: dict[str, float] | None
     copy = F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("n"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), copy.cast("string")))
     # slim rows, written once: the texts are read and counted a single time
-    rows = written(rows.withColumn("key", key).withColumn("slot", F.substring("key", 1, 3)), "pack-rows")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.written(rows.withColumn("key", key).withColumn("slot", F.substring("key", 1, 3)), "pack-rows")
 
     sizes = rows.groupBy("source").agg(F.sum("n").alias("tokens"))
     if weights is None:
@@ -60,6 +61,7 @@ def packed(docs: DataFrame, window: int = 2048, weights: dict[str, float] | None
     queue = _running(rows, ["source"], "slot", ["key", "n"], "n", "upto").join(quanta, "source")
     queue = queue.withColumn("round", F.expr(f"(upto * {UNIT} + quantum - 1) div quantum - 1")).withColumn("block", F.expr(f"round div {ROUNDS_A_BLOCK}"))
     queue = written(queue.select("source", "doc_id", "n", "upto", "round", "block"), "pack-queue")
+    scratch.drop(rows)
     stream = _running(queue.withColumn("all", F.lit(0)), ["all"], "block", ["round", "source", "upto"], "n", "end").withColumn("start", F.expr("end - n"))
     piece = stream.select("source", "doc_id", "start", "end", F.explode(F.expr(f"sequence(start div {window}, (end - 1) div {window})")).alias("window_id"))
     lo, hi = F.greatest("start", F.col("window_id") * window), F.least("end", (F.col("window_id") + 1) * window)

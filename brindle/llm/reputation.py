@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import join_skewed, plain, written
+from .shared import Scratch, join_skewed, plain, written
 
 HOST_PATTERN = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 ADDRESS_PATTERN = r"^([0-9]+([.][0-9]+){3}|\[.*)$"
@@ -78,7 +78,7 @@ def _posterior(groups: DataFrame) -> DataFrame:
     return g.withColumns({"mean": mean, "var": mean * (1 - mean) / (total + 1) + pull * pull * F.col("v")}).drop("s", "mu", "v")
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, rules: Sequence[str] = SUFFIX_RULES) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, rules: Sequence[str] = SUFFIX_RULES, scratch: Scratch | None = None) -> DataFrame:
     """(host, domain, suffix, pages, n, bad, mean, lower, upper, overall) of every host of ``pages`` (url), from ``outcomes``
     (url, bad 0/1).
 
@@ -86,18 +86,20 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, rul
     posterior what its domains are, a domain's what its hosts are; each level's prior strength is fitted by moments over all
     its groups. A parent's variance is carried on, in the share of the parent's pull. ``lower`` and ``upper`` are ``z`` posterior
     standard deviations from the posterior mean, within [0, 1]. Hosts without outcomes have their domain's mean and the width of
-    its prior. Null outcomes don't count; without any outcome every mean is 0.5. ``overall`` is the mean of all."""
+    its prior. Null outcomes don't count; without any outcome every mean is 0.5. ``overall`` is the mean of all. The result reads
+    tables of ``scratch``."""
+    scratch = scratch or Scratch(pages.sparkSession)
     hosts = with_domains(pages.select(host_of(F.col("url")).alias("host")).groupBy("host").agg(F.count("*").alias("pages")), rules)
     seen = outcomes.where("bad is not null").select(host_of(F.col("url")).alias("host"), F.col("bad").cast("double").alias("bad")).groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("bad").alias("bad"))
-    h = written(hosts.join(seen, "host", "left").fillna(0.0, ["n", "bad"]), "hosts")
+    h = scratch.written(hosts.join(seen, "host", "left").fillna(0.0, ["n", "bad"]), "hosts")
     total = lambda df, count, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("*").alias(count))
     d = total(h, "hosts", "domain", "suffix")
     x = total(d, "domains", "suffix")
     top = x.agg(((F.coalesce(F.sum("bad"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("mu"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"))
     top = top.select("mu", (F.col("mu") * (1 - F.col("mu")) / (F.col("n") + 3)).alias("v"))
     up = lambda df, key, count: df.select(key, F.col("mean").alias("mu"), F.col("var").alias("v"), count)
-    x = written(_posterior(x.crossJoin(F.broadcast(top))), "suffixes")
-    d = written(_posterior(join_skewed(d, up(x, "suffix", "domains"), ["suffix"], "domains")), "domains")
+    x = scratch.written(_posterior(x.crossJoin(F.broadcast(top))), "suffixes")
+    d = scratch.written(_posterior(join_skewed(d, up(x, "suffix", "domains"), ["suffix"], "domains")), "domains")
     h = _posterior(join_skewed(h, up(d, "domain", "hosts"), ["domain"], "hosts"))
     sd = F.sqrt("var")
     h = h.select("host", "domain", "suffix", "pages", F.col("n").cast("bigint").alias("n"), F.col("bad").cast("bigint").alias("bad"), "mean", F.greatest(F.lit(0.0), F.col("mean") - z * sd).alias("lower"), F.least(F.lit(1.0), F.col("mean") + z * sd).alias("upper"))
@@ -111,7 +113,9 @@ def filtered_pages(pages: DataFrame, outcomes: DataFrame, highest: float = 0.5,
     null ids are carried; extra columns are ignored; an empty table of pages gives no rows, an empty table of outcomes keeps all."""
     pages = plain(pages, "page_id", "url")
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"))
-    rep = written(host_reputation(pages, outcomes, z, rules).withColumn("kept", F.col("lower") <= F.greatest(F.lit(float(highest)), "overall")), "reputation")
+    with Scratch(pages.sparkSession) as scratch:
+        rep = host_reputation(pages, outcomes, z, rules, scratch).withColumn("kept", F.col("lower") <= F.greatest(F.lit(float(highest)), "overall"))
+        rep = written(rep, "reputation")
     found = join_skewed(rows, rep, ["host"], "pages")
     return found.select("page_id", "host", "domain", "suffix", "n", "bad", F.round("mean", 6).alias("mean"), F.round("lower", 6).alias("lower"), "kept")
 

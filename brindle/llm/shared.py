@@ -44,9 +44,38 @@ def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: computed once, and no lineage behind it."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).written(df, name)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a path in whatever file system it names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Tables of the shared folder that are needed on the way to a result only: at the end of a ``with`` they are deleted. What the
+    result itself reads is written apart."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)  # keeps the id in use
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            removed(self.spark, self.paths.pop(id(t))[0])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop(*(t for _, t in self.paths.values()))
 
 
 def join_skewed(rows: DataFrame, table: DataFrame, key: list[str], count: str) -> DataFrame:

@@ -213,7 +213,8 @@ class Counter:
 
 def token_counts(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens): the tokens of each whole text under a byte-level BPE vocabulary of ranks at the path ``vocabulary``;
-    strings of special tokens are ordinary text.
+    strings of special tokens are ordinary text. As encoders for such vocabularies do, a pre-token that the vocabulary holds whole
+    is one token; any other is merged, least rank first.
 
     A null text has a null count, an empty one 0. Repeated rows give repeated rows, a null doc_id is carried as it is, extra
     columns are ignored. The table of pairs is broadcast; its size is the vocabulary's, whatever the data."""

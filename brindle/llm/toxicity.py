@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, Isotonic, fit_boosted, fit_isotonic
-from .shared import numbered, plain, written
+from .shared import Scratch, numbered, plain
 from .textkernel import WORD, Words, blocks, word_hash
 
 LEXICON = """idiot idiots moron morons stupid stupids trash scum loser losers clown clowns worthless pathetic disgusting dumb dumbass imbecile
@@ -299,12 +299,17 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> Tox
 
     The labelled texts also give a lexicon of word beginnings that toxic documents hold more often than clean ones. Trees and
     calibration see each text through a lexicon, and the calibration through trees, that the text had no part in."""
+    with Scratch(docs.sparkSession) as scratch:
+        return _trained(docs, labels, max_labelled, scratch)
+
+
+def _trained(docs: DataFrame, labels: DataFrame, max_labelled: int, scratch: Scratch) -> ToxicityModel | None:
     given = plain(labels, "doc_id", "toxic").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     picked = given.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(max_labelled)
     texts = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
     # bounded by max_labelled, so its size is known
     rows = texts.join(F.broadcast(picked), "doc_id").select(F.xxhash64("text").alias("key"), "text", "toxic").groupBy("key").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    rows = written(rows.select("key", "text", F.least("toxic", F.lit(1)).alias("toxic"), F.pmod("key", F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
+    rows = scratch.written(rows.select("key", "text", F.least("toxic", F.lit(1)).alias("toxic"), F.pmod("key", F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
     sizes = {(r["toxic"], r["fold"]): r["count"] for r in rows.groupBy("toxic", "fold").count().collect()}
     n = np.array([[sizes.get((c, k), 0) for k in range(FOLDS)] for c in (0, 1)], float)
     if not n[0].sum() or not n[1].sum():

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, plain, scratch_path, written
+from .shared import Scratch, cut, plain, scratch_path
 
 MAGIC = re.compile(rb"WARC/\d\.\d\r?\n")
 MAGIC_LONGEST = 12
@@ -214,7 +214,8 @@ def _splits(spark: SparkSession, folder: str, split_bytes: int) -> DataFrame:
 
 def _entries(spark: SparkSession, splits: DataFrame, split_bytes: int) -> DataFrame:
     """(path, size, b, entry): where the chain from a file's start enters each split that it gets to."""
-    found = written(splits.mapInArrow(_candidates, "path string, off bigint, next bigint, exit bigint"), "warc-candidates")
+    scratch = Scratch(spark)
+    found = scratch.written(splits.mapInArrow(_candidates, "path string, off bigint, next bigint, exit bigint"), "warc-candidates")
     reached = cut(found.where("off = 0").select("path", "off"))
     entries = found.where("exit is not null").select("path", F.col("exit").alias("off")).unionByName(reached).distinct()
     jump = cut(found.where("exit is not null").select("path", "off", "exit").join(entries, ["path", "off"], "left_semi"))
@@ -223,6 +224,7 @@ def _entries(spark: SparkSession, splits: DataFrame, split_bytes: int) -> DataFr
         reached = cut(reached.unionByName(further).distinct())
         on = jump.select("path", F.col("off").alias("exit"), F.col("exit").alias("to"))
         jump = cut(jump.join(on, ["path", "exit"]).select("path", "off", F.col("to").alias("exit")))
+    scratch.drop(found)
     starts = reached.select("path", F.expr(f"off div {split_bytes} * {split_bytes}").alias("a"), F.col("off").alias("entry"))
     return splits.join(starts, ["path", "a"]).select("path", "size", "b", "entry")
 

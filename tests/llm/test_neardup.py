@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -6,6 +7,7 @@ import pytest
 from brindle.llm import neardup
 from brindle.llm.components import connected_components
 from brindle.llm.neardup import EMPTY, NearDupConfig, band_keys, compress, deduplicated, densified, estimate, jaccard, near_duplicates, registers, shingle_set
+from brindle.llm.shared import Scratch
 from brindle.llm.textkernel import Words, blocks, shingles
 
 from .conftest import DOC, ODD
@@ -168,7 +170,7 @@ def test_pairs_of_a_crowd_grow_no_faster_than_the_texts(spark):
     count = []
     for n in (500, 1000):
         rows = [(i, i, t) for i, t in _crowd(n).items()]
-        count.append(neardup._rare_pairs(spark.createDataFrame(rows, "id bigint, label bigint, text string"), CFG).count())
+        count.append(neardup._rare_pairs(spark.createDataFrame(rows, "id bigint, label bigint, text string"), CFG, Scratch(spark)).count())
     assert 0 < count[0] < 500 and count[1] < 2.5 * count[0]
 
 
@@ -182,7 +184,7 @@ def test_rare_shingles_find_every_pair(spark, seed):
     sets = {i: shingle_set(t, CFG.width) for i, t in texts.items()}
     label = {i: i % 50 for i in texts}
     rows = [(i, label[i], t) for i, t in texts.items()]
-    got = {(r["a"], r["b"]) for r in neardup._rare_pairs(spark.createDataFrame(rows, "id bigint, label bigint, text string"), CFG).collect()}
+    got = {(r["a"], r["b"]) for r in neardup._rare_pairs(spark.createDataFrame(rows, "id bigint, label bigint, text string"), CFG, Scratch(spark)).collect()}
     want = {(a, b) for a in texts for b in texts if a < b and label[a] != label[b] and jaccard(sets[a], sets[b]) >= CFG.threshold}
     assert want and want <= got
 
@@ -190,5 +192,12 @@ def test_rare_shingles_find_every_pair(spark, seed):
 def test_different_texts_with_one_hash_stay_two(spark):
     rows = [(4, "one text here", 7, 1, 13), (2, "another text", 7, 2, 12), (3, "one text here", 7, 1, 13)]
     keyed = spark.createDataFrame(rows, "doc_id bigint, text string, h bigint, h2 int, len int")
-    got = sorted((r["h2"], r["doc_id"], r["copies"]) for r in neardup._nodes(keyed, CFG).collect())
-    assert got == [(1, 3, 2), (2, 2, 1)] and neardup._nodes(keyed, CFG).select("id").distinct().count() == 2
+    got = sorted((r["h2"], r["doc_id"], r["copies"]) for r in neardup._nodes(keyed, CFG, Scratch(spark)).collect())
+    assert got == [(1, 3, 2), (2, 2, 1)] and neardup._nodes(keyed, CFG, Scratch(spark)).select("id").distinct().count() == 2
+
+
+def test_tables_on_the_way_are_deleted(docs, spark):
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert near_duplicates(docs((1, "a b c d"), (2, "a b c d"), (3, "a b c d e"))).count() == 2
+    assert len(set(os.listdir(folder)) - before) == 1

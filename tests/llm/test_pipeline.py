@@ -86,3 +86,23 @@ def test_packing_stage(stages):
 
 def test_run_equals_the_stages(spark, sf_dir, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, stages["packing"][1].collect()))
+
+
+def _chain(spark, docs, sf_dir):
+    for _, f in corpus_pipeline.STAGES:
+        names = docs.columns
+        docs = f(spark, docs, sf_dir)
+        rows = docs.collect()
+        if docs.columns == names:
+            docs = spark.createDataFrame(rows, docs.schema)
+    return names, rows
+
+
+def test_odd_clashing_and_empty_documents_go_through(spark, sf_dir, odd, clashing):
+    """Of the odd rows the repeated ones and the copy (6) go, those without a word fill no window."""
+    want = {None, 4, 5, 7, 8}
+    for df in (odd, clashing):
+        names, rows = _chain(spark, df, sf_dir)
+        assert names == df.columns and {r["doc_id"] for r in rows} == want
+        assert {r["source"] for r in rows} == {"s"}
+    assert _chain(spark, odd.limit(0), sf_dir)[1] == []
