@@ -17,17 +17,20 @@ def main(argv: list[str] | None = None) -> None:
     sub = p.add_subparsers(dest="command", required=True)
     w = sub.add_parser("wordcount")
     w.add_argument("--input", required=True)
-    w.add_argument("--sample-rate", type=float, default=0.01)
     g = sub.add_parser("pagerank")
-    g.add_argument("--edges", required=True)
+    source = g.add_mutually_exclusive_group(required=True)
+    source.add_argument("--edges", help="an edge list")
+    source.add_argument("--input", help="node states, bare or wrapped")
     g.add_argument("--iterations", type=int, default=10)
     g.add_argument("--damping", type=float, default=0.85)
-    g.add_argument("--num-nodes", type=int)
+    g.add_argument("--num-nodes", type=int, help="default: what <input>.meta.json says, else the number of nodes there are")
     g.add_argument("--heavy-config")
     for x in (w, g):
         x.add_argument("--out", default="runs")
         x.add_argument("--mode", choices=("baseline", "mitigation"), default="baseline")
         x.add_argument("--reducers", type=int, default=8)
+        x.add_argument("--sample-rate", type=float, default=0.01)
+        x.add_argument("--seed", type=int, default=0)
         x.add_argument("--heavy-pct", type=float, default=0.01)
         x.add_argument("--splits", type=int, default=8)
     i = sub.add_parser("init")
@@ -49,26 +52,28 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("brindle").getOrCreate()
 
     if args.command == "wordcount":
-        print(json.dumps(runs.run_wordcount(spark, args.input, args.out, args.mode, args.reducers, args.sample_rate, args.heavy_pct, args.splits)))
+        print(json.dumps(runs.run_wordcount(spark, args.input, args.out, args.mode, args.reducers, args.sample_rate, args.heavy_pct, args.splits, args.seed)))
     elif args.command == "pagerank":
-        plan = None
-        if args.heavy_config:
-            with open(args.heavy_config) as f:
-                plan = runs.heavy_plan(spark, json.load(f))
-        edges = jsonl.edge_list(spark, args.edges)
-        print(json.dumps(runs.run_pagerank(spark, edges, args.out, args.iterations, args.damping, args.mode, args.reducers, args.heavy_pct, args.splits, args.num_nodes, plan)))
+        plan = runs.heavy_plan(spark, sinks.read_summary(spark, args.heavy_config) or {}) if args.heavy_config else None
+        n = args.num_nodes if args.num_nodes is not None else runs.nodes_said(spark, args.edges or args.input)
+        edges = jsonl.edge_list(spark, args.edges) if args.edges else None
+        state = jsonl.node_states(spark, args.input) if args.input else None
+        print(json.dumps(runs.run_pagerank(spark, edges, args.out, args.iterations, args.damping, args.mode, args.reducers, args.heavy_pct, args.splits, n, plan, state, args.sample_rate, args.seed)))
     elif args.command == "init":
-        sinks.write_states(graph.initial_state(jsonl.edge_list(spark, args.edges)), args.out)
+        state = graph.initial_state(jsonl.edge_list(spark, args.edges))
+        sinks.write_states(state, args.out)
+        sinks.write_summary(spark, {"num_nodes": jsonl.node_states(spark, args.out).count(), "source_input_path": args.edges}, args.out.rstrip("/") + ".meta.json")
     elif args.command == "analyze-heavy":
-        sinks.write_summary(runs.analyze_heavy(jsonl.edge_list(spark, args.edges), args.top_k, args.splits), args.out)
+        sinks.write_summary(spark, runs.analyze_heavy(jsonl.edge_list(spark, args.edges), args.top_k, args.splits), args.out)
     elif args.command == "generate":
-        made = {"zipf-text": generators.zipf_text, "hot-key-text": generators.hot_key_text, "zipf-graph": generators.zipf_graph, "hot-node-graph": generators.hot_node_graph}[args.kind](spark, **json.loads(args.options))
+        options = json.loads(args.options)
+        made = {"zipf-text": generators.zipf_text, "hot-key-text": generators.hot_key_text, "zipf-graph": generators.zipf_graph, "hot-node-graph": generators.hot_node_graph}[args.kind](spark, **options)
         if args.kind.endswith("text"):
             made.select("text").write.mode("overwrite").json(args.out)
         else:
-            made.selectExpr("concat(src, ' ', dst) AS value").write.mode("overwrite").text(args.out)
+            print(json.dumps(runs.write_graph(spark, made, args.out, options.pop("num_nodes", 1_000), **options)))
     else:
-        a, b = args.runs or runs.latest_runs(args.base, "pagerank")
+        a, b = args.runs or runs.latest_runs(spark, args.base, "pagerank")
         result = runs.compare_runs(spark, a, b)
         print(json.dumps(result))
         raise SystemExit(0 if result["matches"] else 1)

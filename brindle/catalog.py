@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import keys
 from .functions.text import tokens
-from .operators import compare, generators, graph, pagerank, skew, wordcount
-from .plans import jobs
+from .operators import compare, generators, graph, pagerank, reducers, skew, wordcount
+from .plans import jobs, runs
+from .plans.lineage import scratch_path
+from .sources import jsonl
+from .sources import sinks as files
+from .streaming import each_record
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -152,13 +156,106 @@ def heavy_words(spark, sf_dir):
     return _rounded(skew.partition_plan(_sample(spark, sf_dir), HEAVY_PCT, SPLITS), "estimated_freq", places=12)
 
 
-@_query()
+_HEAVY = SQL["heavy_words"]
+_PLACES = r"(SELECT doc_id, unnest(l) AS k, unnest(range(len(l))) AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\s\p{Z}\x{0085}\x{000B}]+'), lambda w: w <> '') AS l FROM documents))"
+
+
+@_query(f"""
+WITH h AS ({_HEAVY}), t AS ({_PLACES[1:-1]}),
+g AS (SELECT t.k, CASE WHEN h.k IS NULL THEN NULL ELSE {_crc("(t.doc_id::VARCHAR || ':' || t.pos::VARCHAR)")} % {SPLITS} END AS salt FROM t LEFT JOIN h ON t.k = h.k),
+c AS (SELECT k, salt, count(*) AS v FROM g GROUP BY k, salt), p AS (SELECT v, {_BYTES} AS b, {_crc("coalesce(k || '#' || salt::VARCHAR, k)")} % {REDUCERS} AS reducer FROM c)
+SELECT r.reducer::INT AS reducer, coalesce(sum(v * b), 0)::BIGINT AS bytes, coalesce(sum(v), 0)::BIGINT AS records
+FROM (SELECT unnest(range({REDUCERS})) AS reducer) r LEFT JOIN p ON p.reducer = r.reducer GROUP BY r.reducer
+""")
 def salted_reducer_load(spark, sf_dir):
-    """The load once heavy words are spread; salts come from xxhash64, which SQL lacks, so tests hold its sums against the plain load."""
+    """The load once heavy words are spread."""
     kvs = wordcount.salted(wordcount.emitted(_docs(spark, sf_dir), "doc_id"), heavy_words(spark, sf_dir), "doc_id", "pos")
     return skew.reducer_load(kvs, REDUCERS, "salt")
 
 
+@_query(f"WITH h AS ({_HEAVY}), t AS ({_PLACES[1:-1]}), n AS (SELECT t.k, ((row_number() OVER (PARTITION BY t.k ORDER BY doc_id, pos) - 1) % {SPLITS})::INT AS salt FROM t JOIN h ON t.k = h.k) SELECT k, salt, count(*) AS records FROM n GROUP BY k, salt")
+def round_robin_turns(spark, sf_dir):
+    """Heavy words spread in exact turns."""
+    heavy = skew.small_plan(heavy_words(spark, sf_dir)).select("k")
+    kvs = wordcount.emitted(_docs(spark, sf_dir), "doc_id").join(F.broadcast(heavy), "k")
+    return skew.round_robin_salt(kvs, SPLITS, "k", "doc_id", "pos").groupBy("k", "salt").agg(F.count("*").alias("records"))
+
+
+@_query(f"WITH c AS ({_COUNTS}) SELECT k, k AS base, k || '#' || ({_crc('k')} % {SPLITS}) AS salted_text, true AS salted, false AS plain_salted FROM c")
+def base_keys(spark, sf_dir):
+    """Keys back from their salted form, which is told by the salt and not by the text."""
+    key = keys.salted_key(F.col("k"), keys.source_salt(F.col("k"), F.lit(SPLITS)))
+    s = wordcount_documents(spark, sf_dir).withColumn("key", key).withColumn("unsalted", keys.salted_key(F.col("k")))
+    return s.select("k", keys.base_key(F.col("key")).alias("base"), keys.encode_key(F.col("key")).alias("salted_text"), keys.is_salted(F.col("key")).alias("salted"), keys.is_salted(F.col("unsalted")).alias("plain_salted"))
+
+
+@_query(f"""
+WITH c AS ({_COUNTS}), p AS (SELECT v, {_BYTES} AS b, {_crc("k")} % {REDUCERS} AS reducer FROM c)
+SELECT r.reducer::INT AS reducer, coalesce(sum(v * b), 0)::BIGINT AS bytes_read, coalesce(sum(v), 0)::BIGINT AS records_read, count(v) AS records_written
+FROM (SELECT unnest(range({REDUCERS})) AS reducer) r LEFT JOIN p ON p.reducer = r.reducer GROUP BY r.reducer
+""")
+def reducer_stats(spark, sf_dir):
+    return reducers.reducer_stats(wordcount.emitted(_docs(spark, sf_dir)), REDUCERS)
+
+
+# --- files: written to the shared folder and read back ---
+
+
+def _write_lines(df: DataFrame, path: str) -> str:
+    df.write.text(path)
+    return path
+
+
+@_query("SELECT md5(coalesce(text, '')) AS digest, count(*) AS n FROM documents GROUP BY 1")
+def text_lines(spark, sf_dir):
+    """Documents as JSON lines, with lines that are none between them."""
+    lines = _docs(spark, sf_dir).select(F.to_json(F.struct("text")).alias("value"))
+    bad = spark.createDataFrame([("not json",), ("",), ('{"text":5}',), ("[1]",)], "value string")
+    path = _write_lines(lines.unionByName(bad), scratch_path(spark, "text-lines"))
+    return jsonl.text_records(spark, path).groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"))
+
+
+@_query("SELECT count(*) AS records, sum(length(n_name))::BIGINT AS characters FROM nation")
+def callback_records(spark, sf_dir):
+    """Rows handed to a function one by one."""
+    sizes: list[int] = []
+    n = each_record(_table(spark, sf_dir, "nation"), lambda r: sizes.append(len(r["n_name"])))
+    return spark.createDataFrame([(n, sum(sizes))], "records bigint, characters bigint")
+
+
+@_query("SELECT how, 'c' || c_custkey AS k, c_nationkey::BIGINT AS v FROM customer, (VALUES ('glob'), ('list')) t(how)")
+def files_by_glob_and_list(spark, sf_dir):
+    """Key-value lines in several files, found by a pattern and by a file that names them."""
+    path = scratch_path(spark, "kv")
+    kvs = _table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("k"), F.col("c_nationkey").cast("bigint").alias("v"))
+    kvs.repartition(4).write.json(path)
+    names = [n for n in files.listed(spark, path) if n.startswith("part-")]
+    files.write_text(spark, "".join(f"{path}/{n}\n" for n in names), path + ".list")
+    by_glob = jsonl.kv_records(spark, f"{path}/part-*").select(F.lit("glob").alias("how"), "k", "v")
+    return by_glob.unionByName(jsonl.kv_records(spark, jsonl.listed_files(spark, path + ".list")).select(F.lit("list").alias("how"), "k", "v"))
+
+
+@_query("SELECT 8::BIGINT AS shards, count(*) AS records FROM orders")
+def shards(spark, sf_dir):
+    dealt = jsonl.sharded(_table(spark, sf_dir, "orders").select("o_orderkey"), 8)
+    return dealt.groupBy(F.spark_partition_id().alias("p")).count().agg(F.count("*").alias("shards"), F.sum("count").alias("records"))
+
+
+@_query(f"SELECT k, v, ({_crc('k')} % {REDUCERS})::INT AS reducer FROM ({_COUNTS})")
+def reducer_files(spark, sf_dir):
+    """Counts in a file a reducer; the reducer is read from the file's name."""
+    path = scratch_path(spark, "reduced")
+    reducers.write_reduced(wordcount_documents(spark, sf_dir), path, REDUCERS)
+    return reducers.read_reduced(spark, path)
+
+
+@_query(_COUNTS)
+def counts_file(spark, sf_dir):
+    path = scratch_path(spark, "counts")
+    files.write_counts(wordcount_documents(spark, sf_dir), path)
+    return jsonl.kv_records(spark, path).select("k", "v")
+
+
 # --- graphs ---
 
 
@@ -301,6 +398,104 @@ def pagerank_round_load(spark, sf_dir):
     return skew.reducer_load(kvs, REDUCERS, size=F.lit(0)).select("reducer", "records")
 
 
+@_query(f"""
+WITH e AS ({_GEO}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), o AS (SELECT src, string_agg('"' || dst || '"', ',' ORDER BY dst) AS a FROM e GROUP BY src),
+kv AS (SELECT node AS k, '{{"type":"adjacency","neighbors":[' || coalesce(a, '') || ']}}' AS v FROM n LEFT JOIN o ON n.node = o.src),
+p AS (SELECT {_crc("k")} % {REDUCERS} AS reducer, octet_length(encode('{{"k":"' || k || '","v":"' || replace(v, '"', '\\"') || '"}}')) AS b FROM kv)
+SELECT r.reducer::INT AS reducer, coalesce(sum(b), 0)::BIGINT AS bytes, count(b) AS records FROM (SELECT unnest(range({REDUCERS})) AS reducer) r LEFT JOIN p ON p.reducer = r.reducer GROUP BY r.reducer
+""")
+def adjacency_load(spark, sf_dir):
+    """Bytes and records of the adjacency that a round sends; the text of a contribution's number is Java's, which SQL lacks."""
+    kvs = pagerank.round_kvs(graph.initial_state(_geo(spark, sf_dir)))
+    return skew.reducer_load(kvs.where(F.get_json_object("v", "$.type") == "adjacency"), REDUCERS)
+
+
+@_query(f"""
+WITH e AS ({_GEO}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), s AS (SELECT node FROM n WHERE ({_crc("'7:' || node")}) % 1000000 < 500000),
+k AS (SELECT dst AS k FROM e JOIN s ON e.src = s.node UNION ALL SELECT node FROM s), c AS (SELECT k, count(*) AS sample_count FROM k GROUP BY k), t AS (SELECT sum(sample_count) AS total FROM c)
+SELECT k, sample_count, round(sample_count / total, 12) AS estimated_freq, {SPLITS}::INT AS splits FROM c, t WHERE sample_count >= greatest(1, floor(total * {HEAVY_PCT}))
+""")
+def heavy_nodes(spark, sf_dir):
+    """Keys of a round, adjacency among them, that are heavy in a sample of the nodes."""
+    return _rounded(pagerank.sampled_plan(graph.initial_state(_geo(spark, sf_dir)), 0.5, SEED, HEAVY_PCT, SPLITS), "estimated_freq", places=12)
+
+
+@_query(_GEO)
+def edge_file(spark, sf_dir):
+    """An edge list with comments, blanks and lines of one field."""
+    lines = _geo(spark, sf_dir).select(F.concat_ws(" \t", "src", "dst", F.lit("note")).alias("value"))
+    bad = spark.createDataFrame([("# a b",), ("lonely",), ("",)], "value string")
+    return jsonl.edge_list(spark, _write_lines(lines.unionByName(bad), scratch_path(spark, "edges")))
+
+
+def _state_file(spark, sf_dir) -> str:
+    path = scratch_path(spark, "states")
+    files.write_states(graph.initial_state(_geo(spark, sf_dir)), path)
+    return path
+
+
+@_query(SQL["graph_init"])
+def state_file(spark, sf_dir):
+    """Node states as wrapped JSON lines."""
+    states = jsonl.node_states(spark, _state_file(spark, sf_dir))
+    return states.select("node", F.round("rank", 12).alias("rank"), F.array_join("neighbors", " ").alias("neighbors"))
+
+
+@_query(_geo_rank_sql(3))
+def pagerank_from_states(spark, sf_dir):
+    """From a file of node states, each node once."""
+    state = graph.checked_unique(jsonl.node_states(spark, _state_file(spark, sf_dir)))
+    return _rounded(pagerank.pagerank(graph.edges_of(state), 3, DAMPING, initial=state), "rank")
+
+
+@_query(_rank_sql(_GEO, 3, "SELECT node, round(rank, 10) AS rank, (row_number() OVER (ORDER BY round(rank, 10) DESC, node))::INT AS place FROM r3"))
+def ranks_file(spark, sf_dir):
+    """Sorted ranks as JSON lines; the place of a line follows from its file and its place there."""
+    path = scratch_path(spark, "ranks")
+    files.write_sorted_ranks(_rounded(pagerank.pagerank(_geo(spark, sf_dir), 3, DAMPING), "rank"), path)
+    rows = spark.read.schema("node string, rank double").json(path).select("node", "rank", F.col("_metadata.file_name").alias("f"), F.monotonically_increasing_id().alias("i"))
+    return rows.withColumn("place", F.row_number().over(Window.orderBy("f", "i")).cast("int")).drop("f", "i")
+
+
+@_query(f"WITH d AS ({SQL['heavy_destinations']}) SELECT node AS k, splits FROM d")
+def heavy_config_file(spark, sf_dir):
+    path = scratch_path(spark, "heavy") + ".json"
+    files.write_summary(spark, runs.analyze_heavy(_geo(spark, sf_dir), 10, SPLITS), path)
+    return runs.heavy_plan(spark, files.read_summary(spark, path))
+
+
+@_query(f"WITH e AS ({_GEO}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT count(*) AS nodes, 0::BIGINT AS reported, 0.0::DOUBLE AS largest, true AS matches, 0::BIGINT AS only_in_a, 0::BIGINT AS only_in_b, 2::INT AS rounds FROM n")
+def runs_agree(spark, sf_dir):
+    """Whole runs from files to files, one with mitigation."""
+    e, out = _geo(spark, sf_dir), scratch_path(spark, "runs")
+    a, b = (runs.run_pagerank(spark, e, out, 2, DAMPING, mode, REDUCERS, HEAVY_PCT, SPLITS)["folder"] for mode in ("baseline", "mitigation"))
+    r = runs.compare_runs(spark, a, b)
+    r["rounds"] = len(files.read_summary(spark, f"{b}/metrics/run_summary.json")["rounds"])
+    return spark.createDataFrame([(r["nodes"], r["reported"], round(r["largest"], 9), r["matches"], r["only_in_a"], r["only_in_b"], r["rounds"])], "nodes bigint, reported bigint, largest double, matches boolean, only_in_a bigint, only_in_b bigint, rounds int")
+
+
+@_query(f"SELECT dst, count(*) AS count FROM ({_GEO}) WHERE dst IN ('n3', 'n7', 'n11', 'r1') GROUP BY dst")
+def hot_node_counts(spark, sf_dir):
+    return generators.hot_node_counts(_geo(spark, sf_dir), ["n3", "n7", "n11", "r1"])
+
+
+@_query("SELECT * FROM (VALUES ('hot_key_text', 10000::BIGINT, 200000::BIGINT, true), ('hot_node_graph', 10000, 5000, true), ('zipf_graph', 10000, 10000, true), ('zipf_text', 10000, 200000, true)) t(generator, rows, counted, holds)")
+def generator_facts(spark, sf_dir):
+    """What must hold of the generators' output: rows, words or distinct edges (to hot nodes), and their shape."""
+    words = lambda df: df.select(F.explode(F.split("text", " ")).alias("w"))
+    z, h = words(zipf_text(spark, sf_dir)), words(hot_key_text(spark, sf_dir))
+    first = lambda w: F.count_if(F.col("w") == w) / F.count("*")
+    weight = sum((1 + i) ** -1.1 for i in range(1_000))
+    edge = F.struct("src", "dst")
+    out = [
+        z.agg(F.lit("zipf_text").alias("generator"), F.count("*").alias("counted"), (F.abs(first("w000001") - 1 / weight) < 0.01).alias("holds")).crossJoin(F.broadcast(zipf_text(spark, sf_dir).agg(F.count("*").alias("rows")))),
+        h.agg(F.lit("hot_key_text").alias("generator"), F.count("*").alias("counted"), (F.abs(first("HOT") - 0.5) < 0.01).alias("holds")).crossJoin(F.broadcast(hot_key_text(spark, sf_dir).agg(F.count("*").alias("rows")))),
+        zipf_graph(spark, sf_dir).agg(F.lit("zipf_graph").alias("generator"), F.countDistinct(edge).alias("counted"), (F.count_if(F.col("src") == F.col("dst")) == 0).alias("holds"), F.count("*").alias("rows")),
+        hot_node_graph(spark, sf_dir).agg(F.lit("hot_node_graph").alias("generator"), F.count_if(F.col("dst") <= "n000010").alias("counted"), ((F.count_if(F.col("src") == F.col("dst")) == 0) & (F.countDistinct(edge) == 10_000)).alias("holds"), F.count("*").alias("rows")),
+    ]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).select("generator", "rows", "counted", "holds")
+
+
 # --- generators: the streams are seeded hashes, tests hold their distributions ---
 
 

@@ -56,27 +56,57 @@ def hot_key_text(spark: SparkSession, n_records: int = 10_000, vocab_size: int =
     return _texts(p.select("id", "pos", F.when(_uniform(seed, F.col("id"), F.col("pos")) < hot_frac, F.lit(hot)).otherwise(other).alias("w")))
 
 
-def _distinct_edges(draw, want: int, most: int) -> DataFrame:
-    """``want`` distinct edges of ``draw(count)``, which is asked for more until there are enough."""
+_BUCKETS = 4096
+
+
+def _first_ids(edges: DataFrame, want: int, span: int) -> DataFrame:
+    """The ``want`` edges of least id, ids lying below ``span``. A count by ranges of ids, 4096 at most, finds the range in which the
+    last of them lies, so only that one range is sorted."""
+    width = -(-span // _BUCKETS)
+    bucket = F.floor(F.col("id") / width)
+    left, last = want, 0
+    for r in edges.groupBy(bucket.alias("b")).count().orderBy("b").collect():
+        last = r["b"]
+        if left <= r["count"]:
+            break
+        left -= r["count"]
+    return edges.where(bucket < last).unionByName(edges.where(bucket == last).orderBy("id").limit(left)).select("src", "dst")
+
+
+def _distinct_edges(draw, want: int, most: int, every) -> DataFrame:
+    """``want`` distinct edges of ``draw(count)``, which is asked for more until there are enough. Where 64 draws for each possible
+    edge aren't, as in the tail of a steep distribution, the rest comes from ``every()``, all edges there can be."""
     if want > most:
         raise ValueError(f"{want} distinct edges asked of {most}")
     count = 2 * want
     while True:
         edges = draw(count).where("src <> dst").groupBy("src", "dst").agg(F.min("id").alias("id"))
-        if count > 64 * most or edges.count() >= want:
-            return edges.orderBy("id").limit(want).select("src", "dst")
+        if count > 64 * most:
+            rest = every().join(edges, ["src", "dst"], "left_anti").withColumn("id", F.col("id") + count)
+            return _first_ids(edges.unionByName(rest), want, count + most + 1)
+        if edges.count() >= want:
+            return _first_ids(edges, want, count)
         count *= 2
 
 
+def _every(spark: SparkSession, num_nodes: int, lo: int, n: int):
+    """Edges from each of ``num_nodes`` nodes to each of the ``n`` after the first ``lo``, loops left out, numbered in a mixed order."""
+
+    def run() -> DataFrame:
+        e = spark.range(num_nodes * n).select((F.col("id") % num_nodes + 1).alias("s"), (F.floor(F.col("id") / num_nodes) + 1 + lo).alias("d")).where("s <> d")
+        return e.select(node(F.col("s")).alias("src"), node(F.col("d")).alias("dst"), F.pmod(F.xxhash64("s", "d"), F.lit(num_nodes * n)).alias("id"))
+
+    return run
+
+
 def zipf_graph(spark: SparkSession, num_nodes: int = 1_000, num_edges: int = 10_000, zipf_s: float = 1.1, zipf_v: float = 1.0, seed: int = 0) -> DataFrame:
-    """(src, dst): uniform sources, Zipf destinations, no self-loops, no repeated edges. Where the tail is too thin for so many
-    distinct edges, fewer come."""
+    """(src, dst): uniform sources, Zipf destinations, no self-loops, no repeated edges, exactly ``num_edges`` of them."""
 
     def draw(count: int) -> DataFrame:
         rows = spark.range(count).select("id", (F.floor(_uniform(seed, F.col("id")) * num_nodes) + 1).alias("s"), _uniform(seed + 1, F.col("id")).alias("u"))
         return _by_table(spark, rows, "u", num_nodes, zipf_s, zipf_v, "d").select("id", node(F.col("s")).alias("src"), node(F.col("d")).alias("dst"))
 
-    return _distinct_edges(draw, num_edges, num_nodes * (num_nodes - 1))
+    return _distinct_edges(draw, num_edges, num_nodes * (num_nodes - 1), _every(spark, num_nodes, 0, num_nodes))
 
 
 def hot_node_graph(spark: SparkSession, num_nodes: int = 1_000, num_edges: int = 10_000, num_hot_nodes: int = 3, hot_edge_frac: float = 0.8, seed: int = 0) -> DataFrame:
@@ -89,7 +119,9 @@ def hot_node_graph(spark: SparkSession, num_nodes: int = 1_000, num_edges: int =
         return lambda count: spark.range(count).select("id", node(F.floor(_uniform(seed + salt, F.col("id")) * num_nodes) + 1).alias("src"), node(F.floor(_uniform(seed + salt + 1, F.col("id")) * n) + 1 + lo).alias("dst"))
 
     rest = num_nodes - num_hot_nodes
-    return _distinct_edges(draw(0, num_hot_nodes, 10), hot, num_hot_nodes * (num_nodes - 1)).unionByName(_distinct_edges(draw(num_hot_nodes, rest, 20), num_edges - hot, rest * (num_nodes - 1)))
+    to_hot = _distinct_edges(draw(0, num_hot_nodes, 10), hot, num_hot_nodes * (num_nodes - 1), _every(spark, num_nodes, 0, num_hot_nodes))
+    to_rest = _distinct_edges(draw(num_hot_nodes, rest, 20), num_edges - hot, rest * (num_nodes - 1), _every(spark, num_nodes, num_hot_nodes, rest))
+    return to_hot.unionByName(to_rest)
 
 
 def top_destinations(edges: DataFrame, n: int = 10) -> DataFrame:
@@ -97,6 +129,11 @@ def top_destinations(edges: DataFrame, n: int = 10) -> DataFrame:
     return edges.groupBy("dst").count().orderBy(F.desc("count"), "dst").limit(n)
 
 
+def hot_node_counts(edges: DataFrame, hot: list[str]) -> DataFrame:
+    """(dst, count) of the nodes ``hot``, the most frequent first; those without an edge are left out."""
+    return edges.where(F.col("dst").isin(hot)).groupBy("dst").count().orderBy(F.desc("count"), "dst")
+
+
 def graph_metadata(edges: DataFrame) -> dict:
     """Counts of nodes and edges, the mean out-degree and the top destinations."""
     r = edges.agg(F.count("*").alias("e"), F.countDistinct("src").alias("s")).first()

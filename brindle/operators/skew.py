@@ -33,9 +33,21 @@ def heavy_top_k(counts: DataFrame, key: str, count: str, k: int, splits: int) ->
     return counts.orderBy(F.desc(count), key).limit(k).withColumn("splits", F.lit(splits))
 
 
+#: A plan of at most so many keys is broadcast.
+MOST_HEAVY = 10_000
+
+
+def small_plan(plan: DataFrame) -> DataFrame:
+    """(k, splits) of a plan, computed once and to be broadcast if it has at most ``MOST_HEAVY`` rows, which is checked. A plan of
+    the share p has 2 / p keys at most; one of more rows than that stays a plain table, to be joined by a shuffle."""
+    slim = plan.select("k", F.col("splits").cast("int").alias("splits"))
+    rows = slim.limit(MOST_HEAVY + 1).collect()
+    return F.broadcast(plan.sparkSession.createDataFrame([tuple(r) for r in rows], "k string, splits int")) if len(rows) <= MOST_HEAVY else slim
+
+
 def split_count(df: DataFrame, plan: DataFrame, key: str) -> DataFrame:
     """``df`` with ``splits`` (0: not heavy) and ``is_heavy`` from a plan of (k, splits)."""
-    p = plan.select(F.col("k").alias(key), "splits")
+    p = small_plan(plan).withColumnRenamed("k", key)
     return df.join(p, key, "left").withColumn("splits", F.coalesce("splits", F.lit(0))).withColumn("is_heavy", F.col("splits") > 0)
 
 
@@ -48,9 +60,13 @@ def kv_bytes(key: Column, value: Column) -> Column:
 
 def reducer_load(kvs: DataFrame, n: int, salt: str | None = None, size: Column | None = None) -> DataFrame:
     """(reducer, bytes, records) of all ``n`` reducers, those without rows too, before any combining: the logical load, which is
-    where skew shows."""
-    rows = kvs.select(partition_id(F.col("k"), n, F.col(salt) if salt else None).alias("reducer"), (size if size is not None else kv_bytes(F.col("k"), F.col("v"))).alias("b"))
-    load = rows.groupBy("reducer").agg(F.sum("b").alias("bytes"), F.count("*").alias("records"))
+    where skew shows. Equal rows are counted first, so hashes and bytes are worked out once for each; ``size`` gives a row's bytes
+    in place of ``kv_bytes``."""
+    kvs = kvs.select(F.col("k"), (F.col(salt) if salt else F.lit(None).cast("int")).alias("salt"), (size if size is not None else F.col("v")).alias("v"))
+    rows = kvs.groupBy("k", "salt", "v").agg(F.count("*").alias("c"))
+    each = F.col("v") if size is not None else kv_bytes(F.col("k"), F.col("v"))
+    rows = rows.select(partition_id(F.col("k"), n, F.col("salt") if salt else None).alias("reducer"), "c", (each * F.col("c")).alias("b"))
+    load = rows.groupBy("reducer").agg(F.sum("b").cast("bigint").alias("bytes"), F.sum("c").alias("records"))
     every = kvs.sparkSession.range(n).select(F.col("id").cast("int").alias("reducer"))
     return every.join(load, "reducer", "left").fillna(0, ["bytes", "records"])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import row_salt
 from ..functions.text import tokens
+from .skew import small_plan
 
 
 def emitted(docs: DataFrame, *carry: str) -> DataFrame:
@@ -20,8 +21,9 @@ def word_count(docs: DataFrame) -> DataFrame:
 
 
 def salted(kvs: DataFrame, plan: DataFrame, *identity: str) -> DataFrame:
-    """``kvs`` with a salt for the heavy keys of ``plan`` (k, splits), null for others."""
-    joined = kvs.join(plan.select("k", "splits"), "k", "left")
+    """``kvs`` with a salt for the heavy keys of ``plan`` (k, splits), null for others. Rows get it where they are, before any
+    shuffle, as long as the plan is small enough to be broadcast."""
+    joined = kvs.join(small_plan(plan), "k", "left")
     return joined.withColumn("salt", F.when(F.col("splits") > 0, row_salt(F.col("splits"), *(F.col(c) for c in identity)))).drop("splits")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import pagerank
+from ..operators import pagerank, skew
 
 
 class Job(Protocol):
@@ -80,8 +80,8 @@ def run(job: Job, records: DataFrame, plan: DataFrame | None = None) -> DataFram
     """The job's result; with a plan (k, splits) of heavy keys by way of partial results of (k, salt), which gives the same."""
     kvs = job.map(records)
     if plan is not None and job.supports_salting:
-        # the salt is the task's number: a retried task keeps it, and sums don't depend on it
-        kvs = kvs.join(plan.select("k", "splits"), "k", "left")
-        kvs = kvs.withColumn("salt", F.when(F.col("splits") > 0, F.pmod(F.spark_partition_id(), F.col("splits"))))
+        # the salt is the number of the task that emits the row, taken before any shuffle: a retried task keeps it
+        kvs = kvs.withColumn("task", F.spark_partition_id()).join(skew.small_plan(plan), "k", "left")
+        kvs = kvs.withColumn("salt", F.when(F.col("splits") > 0, F.pmod(F.col("task"), F.col("splits"))))
         kvs = kvs.groupBy("k", "salt").agg(job.combine(F.col("v")).alias("v"))
     return job.finish(kvs.groupBy("k").agg(job.combine(F.col("v")).alias("v")))

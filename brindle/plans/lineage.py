@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,10 +19,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not folder:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="brindle-")
+        folder = "file://" + tempfile.mkdtemp(prefix="brindle-")
+        atexit.register(shutil.rmtree, folder[7:], ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", folder)
     sc.setCheckpointDir(folder)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/brindle-{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` by an eager reliable checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)

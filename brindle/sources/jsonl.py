@@ -31,11 +31,13 @@ def _text_of(line: Column) -> tuple[Column, Column]:
     return fits, F.coalesce(F.try_variant_get(v, "$.text", "string"), F.lit(""))
 
 
-def text_records(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
-    """(text) of lines ``{"text": ...}``. A line that isn't a JSON object, or whose text isn't a string, is skipped; a missing or
+def text_records(spark: SparkSession, paths: str | Iterable[str], id_column: str | None = None) -> DataFrame:
+    """(text), with a number of each line in ``id_column`` if it is named, of lines ``{"text": ...}``. A line that isn't a JSON object, or whose text isn't a string, is skipped; a missing or
     null text is empty."""
     fits, text = _text_of(F.col("value"))
-    return lines(spark, paths).where(fits).select(text.alias("text"))
+    # taken as lines are read: the place in the file's split, which a retried task sees again
+    numbered = lines(spark, paths).withColumn("__id", F.monotonically_increasing_id())
+    return numbered.where(fits).select(*([F.col("__id").alias(id_column)] if id_column else []), text.alias("text"))
 
 
 def kv_records(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:

@@ -74,7 +74,7 @@ def test_pagerank_runs_agree_and_the_command_line_works(spark, tmp_path, capsys)
     for more in (["--mode", "baseline"], ["--mode", "mitigation", "--heavy-config", str(tmp_path / "heavy.json")]):
         cli.main(["pagerank", "--edges", str(f), "--out", base, "--iterations", "3", *more])
     with pytest.raises(SystemExit) as done:
-        cli.main(["compare", *runs.latest_runs(base, "pagerank")])
+        cli.main(["compare", *runs.latest_runs(spark, base, "pagerank")])
     assert done.value.code == 0 and '"matches": true' in capsys.readouterr().out
     cli.main(["init", "--edges", str(f), "--out", str(tmp_path / "init")])
     assert jsonl.node_states(spark, str(tmp_path / "init")).count() == 30
