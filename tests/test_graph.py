@@ -114,3 +114,23 @@ def test_impossible_graphs_are_refused(spark):
         generators.zipf_graph(spark, 3, 7)
     with pytest.raises(ValueError):
         generators.hot_node_graph(spark, 3, 2, 3)
+
+
+def test_thin_tails_give_every_edge(spark):
+    """Under a steep distribution draws alone would hardly ever find the last edges."""
+    rows = [tuple(r) for r in generators.zipf_graph(spark, 12, 12 * 11, zipf_s=6.0).collect()]
+    assert len(rows) == len(set(rows)) == 132 and all(a != b for a, b in rows)
+    rows = [tuple(r) for r in generators.hot_node_graph(spark, 6, 30, 2, 10 / 30).collect()]
+    assert len(set(rows)) == 30
+
+
+def test_first_ids_are_the_least(spark):
+    edges = spark.range(10_000).selectExpr("id", "cast(id as string) src", "'x' dst").where("id % 3 = 0")
+    got = sorted(int(r["src"]) for r in generators._first_ids(edges, 1000, 10_000).collect())
+    assert got == list(range(0, 3000, 3))
+
+
+def test_ranks_from_given_ones(spark):
+    e = _edges(spark, *ODD)
+    after = pagerank.pagerank(e, 2)
+    assert _ranks(pagerank.pagerank(e, 3, initial=after)) == pytest.approx(_power(ODD, 5), abs=1e-12)

@@ -118,3 +118,57 @@ def test_a_job_of_ones_own(spark):
 
     jobs.register("longest", Longest)
     assert _counts(jobs.run(jobs.get("longest"), _docs(spark, "ab", "abc", "b"))) == {"a": 3, "b": 1}
+
+
+def _plan_text(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_salts_are_given_before_any_shuffle(spark):
+    """With a bounded plan the rows aren't exchanged by their bare key."""
+    docs = _docs(spark, *["hot hot b"] * 40).repartition(8)
+    plan = spark.createDataFrame([("hot", 8)], "k string, splits int")
+    for df in (wordcount.salted_word_count(docs, plan), jobs.run(jobs.get("wordcount"), docs, plan)):
+        text = _plan_text(df)
+        assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+        first = text.rindex("hashpartitioning")  # the exchange nearest to the scan that shuffles by a key
+        assert "salt" in text[first : text.index(")", first)]
+
+
+def test_a_plan_too_large_for_a_broadcast_gives_the_same(spark, monkeypatch):
+    docs = _docs(spark, *["hot hot b"] * 40).repartition(8)
+    plan = spark.createDataFrame([("hot", 8), ("b", 2)], "k string, splits int")
+    monkeypatch.setattr(skew, "MOST_HEAVY", 1)
+    assert "broadcast" not in skew.small_plan(plan)._jdf.queryExecution().logical().toString()
+    want = {"hot": 80, "b": 40}
+    assert _counts(wordcount.salted_word_count(docs, plan)) == want and _counts(jobs.run(jobs.get("wordcount"), docs, plan)) == want
+
+
+def test_every_salt_is_used_without_broadcasts(spark, tmp_path, monkeypatch):
+    """The job protocol's salts come from the emitting task, whatever join follows."""
+    for i in range(8):
+        spark.createDataFrame([(i, "hot " * 20)], "doc_id bigint, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
+    seen = []
+
+    class Watched(jobs.WordCount):
+        def finish(self, reduced):
+            return reduced
+
+        def combine(self, v):
+            seen.append(v)
+            return F.sum(v)
+
+    monkeypatch.setattr(skew, "MOST_HEAVY", -1)
+    monkeypatch.setattr(skew, "small_plan", lambda plan: plan.select("k", "splits"))
+    docs = spark.read.option("maxPartitionBytes", 1).parquet(str(tmp_path / "d"))
+    plan = spark.createDataFrame([("hot", 8)], "k string, splits int")
+    kvs = Watched().map(docs).withColumn("task", F.spark_partition_id()).join(plan, "k", "left")
+    assert kvs.select(F.pmod("task", F.col("splits"))).distinct().count() == docs.rdd.getNumPartitions()
+    assert _counts(jobs.run(Watched(), docs, plan)) == {"hot": 160} and len(seen) == 2
+
+
+def test_load_by_row_sizes(spark):
+    kvs = spark.createDataFrame([("a", None, 5), ("a", None, 5), ("a", 1, 7)], "k string, salt int, v int")
+    load = {r["reducer"]: (r["bytes"], r["records"]) for r in skew.reducer_load(kvs, 1, "salt", F.col("v")).collect()}
+    assert load == {0: (17, 3)}
+    assert skew.reducer_load(kvs.limit(0), 3).agg(F.sum("records")).first()[0] == 0

@@ -80,3 +80,49 @@ def test_pagerank_runs_agree_and_the_command_line_works(spark, tmp_path, capsys)
     assert jsonl.node_states(spark, str(tmp_path / "init")).count() == 30
     cli.main(["generate", "zipf-graph", "--out", str(tmp_path / "g"), "--options", '{"num_nodes": 20, "num_edges": 50}'])
     assert jsonl.edge_list(spark, str(tmp_path / "g")).count() == 50
+
+
+def test_a_line_repeated_is_many_records(spark, tmp_path):
+    """Lines are told apart by their place, so repeats are sampled and salted one by one."""
+    f = tmp_path / "same.jsonl"
+    f.write_text('{"text":"same words"}\n' * 500)
+    docs = jsonl.text_records(spark, str(f), "doc_id")
+    assert docs.select("doc_id").distinct().count() == 500
+    from brindle.operators import skew, wordcount
+
+    assert 5 < skew.sample_rows(docs, 0.05, 1, "doc_id").count() < 60
+    plan = spark.createDataFrame([("same", 8)], "k string, splits int")
+    salts = wordcount.salted(wordcount.emitted(docs, "doc_id"), plan, "doc_id", "pos").where("k = 'same'").groupBy("salt").count().collect()
+    assert len(salts) == 8 and max(r["count"] for r in salts) < 120
+
+
+def test_pagerank_from_states_with_metrics_of_each_round(spark, tmp_path):
+    edges = spark.createDataFrame([(f"n{i}", f"n{(i * i) % 5}") for i in range(30)], "src string, dst string")
+    sinks.write_states(graph.initial_state(edges), str(tmp_path / "s"))
+    state = jsonl.node_states(spark, str(tmp_path / "s"))
+    a = runs.run_pagerank(spark, None, str(tmp_path / "runs"), 2, state=state)
+    b = runs.run_pagerank(spark, edges, str(tmp_path / "runs"), 2, mode="mitigation", sample_rate=0.7, seed=3, heavy_pct=0.05)
+    assert runs.compare_runs(spark, a["folder"], b["folder"])["matches"]
+    for r in (a, b):
+        assert [x["round"] for x in r["rounds"]] == [1, 2]
+        for x in r["rounds"]:
+            assert sum(x["reducer_load"]["records"]) == 60 and min(x["times_ms"].values()) >= 0
+            assert x["reducer_time"]["seconds"] and x["reducer_time"]["cov"] >= 0
+    assert sum(a["rounds"][0]["reducer_load"]["bytes"]) != sum(a["rounds"][1]["reducer_load"]["bytes"])
+    with pytest.raises(Exception, match="repeated node n1"):
+        runs.run_pagerank(spark, None, str(tmp_path / "runs"), 1, state=state.unionByName(state.where("node = 'n1'")))
+    assert runs.run_pagerank(spark, edges.limit(0), str(tmp_path / "runs"), 2)["num_nodes"] == 0
+
+
+def test_command_line_with_states_seeds_and_metadata(spark, tmp_path, capsys):
+    out = str(tmp_path / "g")
+    cli.main(["generate", "zipf-graph", "--out", out, "--options", '{"num_nodes": 20, "num_edges": 50}'])
+    meta = sinks.read_summary(spark, out + ".meta.json")
+    assert meta["num_nodes"] == 20 and meta["num_edges"] == 50 and runs.nodes_said(spark, out) == 20
+    cli.main(["init", "--edges", out, "--out", str(tmp_path / "i")])
+    cli.main(["pagerank", "--input", str(tmp_path / "i"), "--iterations", "1", "--mode", "mitigation", "--sample-rate", "0.5", "--seed", "4", "--out", str(tmp_path / "r")])
+    assert '"num_nodes": ' in capsys.readouterr().out.splitlines()[-1]
+    (tmp_path / "w.jsonl").write_text('{"text":"a a b"}\n' * 20)
+    cli.main(["wordcount", "--input", str(tmp_path / "w.jsonl"), "--mode", "mitigation", "--sample-rate", "0.5", "--seed", "2", "--out", str(tmp_path / "r")])
+    said = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert sum(r["records_read"] for r in said["reducer_stats"]) == 60 and said["reducer_time"]["seconds"]
