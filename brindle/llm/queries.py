@@ -155,5 +155,21 @@ SELECT vec_id, neighbour_id, rank::INT AS rank, round(distance, 6) AS distance F
 """
 
 
+#: Every pair of texts by its shared shingles. Bands miss few of the pairs at the threshold and none far above it.
+_OP6 = r"""
+WITH RECURSIVE t AS (SELECT doc_id::BIGINT AS doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+n AS (SELECT text, min(doc_id) AS own, row_number() OVER (ORDER BY min(doc_id), text) AS i FROM t GROUP BY text),
+w AS (SELECT i, regexp_extract_all(lower(text), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS w FROM n),
+s AS (SELECT DISTINCT i, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1]) END) AS s FROM w WHERE len(w) > 0),
+c AS (SELECT i, count(*) AS n FROM s GROUP BY i),
+p AS (SELECT a.i AS a, b.i AS b, count(*) AS m FROM s a JOIN s b ON a.s = b.s AND a.i < b.i GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN c x ON a = x.i JOIN c y ON b = y.i WHERE m::DOUBLE / (x.n + y.n - m) >= 0.55::DOUBLE),
+f AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+g AS (SELECT DISTINCT a AS i, a AS j FROM f UNION SELECT g.i, f.b FROM g JOIN f ON g.j = f.a),
+k AS (SELECT g.i, min(own) AS keep FROM g JOIN n ON n.i = g.j GROUP BY g.i)
+SELECT DISTINCT doc_id, coalesce(keep, own) AS keep_id FROM t JOIN n ON t.text = n.text LEFT JOIN k ON n.i = k.i WHERE doc_id <> coalesce(keep, own)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_nearest_neighbours": _OP9, "op3_packing": _OP3, "op4_mixing": _OP4, "op5_warc": _OP5, "op10_url_filter": _OP10}
+    return {"op6_near_duplicates": _OP6, "op9_nearest_neighbours": _OP9, "op3_packing": _OP3, "op4_mixing": _OP4, "op5_warc": _OP5, "op10_url_filter": _OP10}
