@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from brindle.llm import queries
+from brindle.llm import mixing, queries
 from brindle.llm.mixing import mixed, water_fill
 from brindle.llm.packing import UNIT, packed
 
@@ -57,6 +57,15 @@ def test_sampling_is_seeded_and_near_its_rate(docs):
     assert all(c in (1, 2) for i, c in Counter(one).items() if i % 2)
 
 
+def test_many_sources_are_joined_without_a_broadcast(docs, monkeypatch):
+    rows = [(i, "one two three", f"s{i % 40}") for i in range(400)]
+    df = docs(*rows, (400, "x", None))
+    run = lambda: sorted((r["doc_id"], r["source"], r["copy"]) for r in mixed(df, alpha=0.5, max_epochs=2.0, budget_ratio=1.3, copy_column="copy").collect())
+    want = run()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    assert "Broadcast" not in mixed(df, alpha=0.5)._jdf.queryExecution().logical().toString() and run() == want
+
+
 def test_mixing_odd_rows(spark, odd, clashing):
     for df in (odd, clashing):
         out = mixed(df)
