@@ -496,25 +496,42 @@ def generator_facts(spark, sf_dir):
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).select("generator", "rows", "counted", "holds")
 
 
-# --- generators: the streams are seeded hashes, tests hold their distributions ---
+# --- generators: every value is a hash of the seed and the row, so SQL has the same ---
 
 
-@_query()
+def _u(seed: int, *keys: str) -> str:
+    return f"(('0x' || substr(md5({' || '.join([repr(str(seed)), *(f"':' || {k}::VARCHAR" for k in keys)])}), 1, 13))::BIGINT / 4503599627370496::DOUBLE)"
+
+
+_ZIPF = "w AS (SELECT i, pow(i::DOUBLE, -1.1::DOUBLE) AS w FROM range(1, 1001) t(i)), c AS (SELECT i, CASE WHEN i = 1000 THEN 1.0 ELSE sum(w) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) / sum(w) OVER () END AS hi FROM w), z AS (SELECT i, coalesce(lag(hi) OVER (ORDER BY i), 0) AS lo, hi FROM c)"
+_PADDED = lambda letter, i: f"'{letter}' || lpad(({i})::BIGINT::VARCHAR, 6, '0')"
+_SLOTS = "range(10000) r(id), range(20) p(pos)"
+
+
+def _first_edges(draws: str, want: int) -> str:
+    return f"SELECT src, dst FROM (SELECT src, dst, min(id) AS id FROM ({draws}) WHERE src <> dst GROUP BY src, dst) ORDER BY id LIMIT {want}"
+
+
+def _drawn(lo: int, n: int, salt: int) -> str:
+    return f"SELECT id, {_PADDED('n', f'floor({_u(salt, "id")} * 1000) + 1')} AS src, {_PADDED('n', f'floor({_u(salt + 1, "id")} * {n}) + 1 + {lo}')} AS dst FROM range(100000) r(id)"
+
+
+@_query(f"WITH {_ZIPF}, u AS (SELECT id, pos, {_u(0, 'id', 'pos')} AS u FROM {_SLOTS}) SELECT id, string_agg({_PADDED('w', 'i')}, ' ' ORDER BY pos) AS text FROM u JOIN z ON u >= lo AND u < hi GROUP BY id")
 def zipf_text(spark, sf_dir):
     return generators.zipf_text(spark)
 
 
-@_query()
+@_query(f"SELECT id, string_agg(CASE WHEN {_u(0, 'id', 'pos')} < 0.5 THEN 'HOT' ELSE {_PADDED('w', f'floor({_u(1, "id", "pos")} * 1000) + 1')} END, ' ' ORDER BY pos) AS text FROM {_SLOTS} GROUP BY id")
 def hot_key_text(spark, sf_dir):
     return generators.hot_key_text(spark)
 
 
-@_query()
+@_query(f"WITH {_ZIPF}, u AS (SELECT id, floor({_u(0, 'id')} * 1000) + 1 AS s, {_u(1, 'id')} AS u FROM range(320000) r(id)) " + _first_edges(f"SELECT id, {_PADDED('n', 's')} AS src, {_PADDED('n', 'i')} AS dst FROM u JOIN z ON u >= lo AND u < hi", 10_000))
 def zipf_graph(spark, sf_dir):
     return generators.zipf_graph(spark)
 
 
-@_query()
+@_query(f"(SELECT * FROM ({_first_edges(_drawn(0, 10, 10), 5_000)})) UNION ALL (SELECT * FROM ({_first_edges(_drawn(10, 990, 20), 5_000)}))")
 def hot_node_graph(spark, sf_dir):
     return generators.hot_node_graph(spark, num_hot_nodes=10, hot_edge_frac=0.5)
 

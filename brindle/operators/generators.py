@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def _uniform(seed: int, *keys: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    """52 bits of an MD5, as a number in [0, 1)."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
 def _by_table(spark: SparkSession, rows: DataFrame, u: str, n: int, s: float, v: float, name: str) -> DataFrame:
