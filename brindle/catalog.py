@@ -454,7 +454,9 @@ def ranks_file(spark, sf_dir):
     path = scratch_path(spark, "ranks")
     files.write_sorted_ranks(_rounded(pagerank.pagerank(_geo(spark, sf_dir), 3, DAMPING), "rank"), path)
     rows = spark.read.schema("node string, rank double").json(path).select("node", "rank", F.col("_metadata.file_name").alias("f"), F.monotonically_increasing_id().alias("i"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("f", "i")).cast("int")).drop("f", "i")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a file
+    rows = rows.join(rows.groupBy("f").agg(F.count("*").alias("n")).withColumn("before", before), "f")
+    return rows.select("node", "rank", (F.row_number().over(Window.partitionBy("f").orderBy("i")) + F.col("before")).cast("int").alias("place"))
 
 
 @_query(f"WITH d AS ({SQL['heavy_destinations']}) SELECT node AS k, splits FROM d")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import partition_id, sampled
 from ..functions.text import tokens
+from ..plans.lineage import cut
 
 
 def sample_rows(df: DataFrame, rate: float, seed: int, *identity: str) -> DataFrame:
@@ -92,9 +93,15 @@ def load_metrics(load: DataFrame) -> DataFrame:
 
 
 def round_robin_salt(kvs: DataFrame, splits: int, key: str, *order: str) -> DataFrame:
-    """Salts in exact turns for each key; sorts every key's rows, so ``row_salt`` is the one to use at scale."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return kvs.withColumn("salt", F.pmod(n - 1, F.lit(splits)).cast("int"))
+    """Salts in exact turns for each key, by ``order``. Rows are cut into ranges of ``order``, numbered within key and range, and moved
+    on by what the key has in the ranges before, so no task sees all rows of a key. ``row_salt`` spreads about as well and needs
+    no sort."""
+    ranged = cut(kvs.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    before = Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(key, "__range").agg(F.count("*").alias("__c")).withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
+    n = F.row_number().over(Window.partitionBy(key, "__range").orderBy(*order)) - 1
+    rows = ranged.withColumn("__n", n).join(counts, [key, "__range"])
+    return rows.withColumn("salt", F.pmod(F.col("__n") + F.col("__before"), F.lit(splits)).cast("int")).select(*kvs.columns, "salt")
 
 
 def map_stats(docs: DataFrame) -> DataFrame:

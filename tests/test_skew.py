@@ -89,6 +89,14 @@ def test_exact_turns(spark):
     assert [r["salt"] for r in got] == [0, 1, 2, 0, 1, 2, 0]
 
 
+def test_exact_turns_over_many_ranges(spark):
+    kvs = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 7)) as k", "id div 10 as doc_id", "id % 10 as pos").repartition(6)
+    got = {}
+    for r in skew.round_robin_salt(kvs, 8, "k", "doc_id", "pos").orderBy("doc_id", "pos").collect():
+        got.setdefault(r["k"], []).append(r["salt"])
+    assert sum(map(len, got.values())) == 3000 and all(v == [i % 8 for i in range(len(v))] for v in got.values())
+
+
 def test_sharding_deals_evenly(spark):
     from brindle.sources.jsonl import sharded
 
